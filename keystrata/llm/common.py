@@ -59,7 +59,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = BATCH_CHARS) -> Iterat
         start = end
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema: str, text: str | None = None) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable, schema: str, text: str | None = None, limit: int = BATCH_CHARS) -> DataFrame:
     """``mapInArrow`` with ``fn(batch) -> dict | RecordBatch | None``, by bounded batches.
 
     A dict holds the columns of ``schema`` by name. ``text`` names the column
@@ -72,7 +72,7 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str, text: str | None = None)
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, text) if text else [whole]:
+            for batch in slices(whole, text, limit) if text else [whole]:
                 out = fn(batch)
                 if out is None:
                     continue
