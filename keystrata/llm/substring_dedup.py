@@ -26,38 +26,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, persist, text_class
-from .words import WordHashes, gram_hashes, grouped, mix, signed
+from .words import batch_words, gram_hashes, grouped, mix, signed, sliding_min, within_texts
 
 WINDOW = 50
 GROUP_ROWS = 2000
 
 
-def anchors(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Prefix hash, place, first and last window start of each group entry of a text."""
-    h = gram_hashes(words, gram)
-    span = window - gram + 1
-    if len(h) < span:
-        z = np.zeros(0, np.int64)
-        return h[:0], z, z, z
-    view = np.lib.stride_tricks.sliding_window_view(h, span)
-    at = np.concatenate([view[i : i + 65536].argmin(1) for i in range(0, len(view), 65536)]) + np.arange(len(view))
-    first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
-    place = at[first]
-    return h[place], place, first, np.concatenate([first[1:], [len(at)]]) - 1
+def anchors(words: np.ndarray, sizes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, prefix hash, first and last window start of each group entry of joined texts.
+
+    An entry is a run of windows with the same least prefix, of ``window`` at most.
+    """
+    starts, text = within_texts(sizes, window)
+    if not len(starts):
+        return text, np.zeros(0, np.uint64), starts, starts
+    least = sliding_min(gram_hashes(words, gram), window - gram + 1)[starts]
+    at = starts - (np.cumsum(sizes) - sizes)[text]
+    new = np.append(True, (least[1:] != least[:-1]) | (text[1:] != text[:-1]))
+    run = np.flatnonzero(new)
+    since = np.arange(len(new)) - np.repeat(run, np.diff(np.append(run, len(new))))
+    first = np.flatnonzero(since % window == 0)
+    last = np.append(first[1:], len(new)) - 1
+    return text[first], least[first], at[first], at[last]
 
 
 def _prefixes(docs: DataFrame, window: int, gram: int) -> DataFrame:
     def run(batch):
-        hashes, out = WordHashes(), []
-        for key, cls, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if text:
-                h, place, lo, hi = anchors(hashes(text.encode().split()), window, gram)
-                if len(h):
-                    out.append((np.full(len(h), key), np.full(len(h), cls), signed(h), lo, hi))
-        if not out:
-            return None
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-        return dict(zip(("id", "cls", "prefix", "lo", "hi"), cols, strict=True))
+        text, h, lo, hi = anchors(*batch_words(batch.column(2).to_pylist()), window, gram)
+        take = pa.array(text)
+        return {"id": batch.column(0).take(take), "cls": batch.column(1).take(take), "prefix": signed(h), "lo": lo, "hi": hi}
 
     return map_arrow(docs, run, "id long, cls long, prefix long, lo long, hi long", "text")
 
@@ -100,8 +97,8 @@ def repeats(df: DataFrame, window: int = WINDOW, text: str = "text", id_col: str
 
     ``cls`` is a 64-bit digest of the text; a ``copy`` repeats a whole text of a smaller id.
     """
-    if window > 100:
-        raise ValueError("windows of over 100 words do not fit the masks")
+    if not 2 <= window <= 62:
+        raise ValueError("windows of 2 to 62 words fit the masks")
     gram = window // 2
     docs = df.select(F.col(id_col).cast("long").alias("id"), text_class(F.col(text)).alias("full"), F.col(text).alias("text")).where("id IS NOT NULL")
     docs = docs.select("id", "full", F.conv(F.hex(F.substring("full", 1, 7)), 16, 10).cast("long").alias("cls"), "text")
@@ -129,12 +126,12 @@ def repeats(df: DataFrame, window: int = WINDOW, text: str = "text", id_col: str
     whole = suffixes.where(F.col("n") > group_rows)
 
     def longer(batch):
-        hashes, out = WordHashes(), []
-        for key, cls, lo, w in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 5)), strict=True):
-            words = hashes(w.encode().split())
-            a, b = signed(gram_hashes(words, window)), signed(gram_hashes(mix(words + np.uint64(1)), window))
-            out.append((np.full(len(a), key), np.full(len(a), cls), np.full(len(a), lo), np.arange(len(a)), a, b))
-        return dict(zip(("id", "cls", "lo", "k", "a", "b"), (np.concatenate(c) for c in zip(*out, strict=True)), strict=True)) if out else None
+        words, sizes = batch_words(batch.column(5).to_pylist())
+        starts, row = within_texts(sizes, window)
+        k = starts - (np.cumsum(sizes) - sizes)[row]
+        take = pa.array(row)
+        cols = {name: batch.column(i).take(take) for i, name in ((1, "id"), (2, "cls"), (3, "lo"))}
+        return cols | {"k": k, "a": signed(gram_hashes(words, window))[starts], "b": signed(gram_hashes(mix(words + np.uint64(1)), window))[starts]}
 
     windows = map_arrow(whole, longer, "id long, cls long, lo long, k long, a long, b long")
     least = windows.groupBy("a", "b").agg(F.min("id").alias("least"))
@@ -150,11 +147,12 @@ def _kept(words: list[bytes], copy: bool | None, marks, window: int) -> np.ndarr
     cover = np.zeros(n + 1, np.int64)
     for m in marks or ():
         mask, at = m["mask"], m["lo"]
-        while mask:
+        while mask:  # a run of set bits at a time
             low = (mask & -mask).bit_length() - 1
+            run = (~(mask >> low) & ((mask >> low) + 1)).bit_length() - 1
             cover[at + low] += 1
-            cover[at + low + window] -= 1
-            mask &= mask - 1
+            cover[at + low + run - 1 + window] -= 1
+            mask &= ~(((1 << run) - 1) << low)
     return np.cumsum(cover[:n]) == 0
 
 

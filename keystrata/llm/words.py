@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,33 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
         return mix((total[k:] - total[:-k]) * up[: n - k + 1])
 
 
+#: Kept between the batches of a worker.
+_HASHES = WordHashes()
+
+
+def batch_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in one array, and the number of words of each."""
+    words = [(t or "").encode().split() for t in texts]
+    return _HASHES(list(chain.from_iterable(words))), np.fromiter(map(len, words), np.int64, len(words))
+
+
+def within_texts(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the joined array where runs of ``k`` words of one text start, and their texts."""
+    n = np.maximum(sizes - k + 1, 0)
+    text = np.repeat(np.arange(len(sizes)), n)
+    return np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.cumsum(sizes) - sizes, n), text
+
+
+def sliding_min(h: np.ndarray, span: int) -> np.ndarray:
+    """The least of each run of ``span`` neighbours, by doubling."""
+    width = 1
+    while 2 * width <= span:
+        h = np.minimum(h[:-width], h[width:])
+        width *= 2
+    rest = span - width
+    return np.minimum(h[: len(h) - rest], h[rest:]) if rest else h
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
