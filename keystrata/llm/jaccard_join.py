@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, persist, runs, text_class
 from .graph import connected_components
-from .words import WordHashes, gram_hashes, grouped, mix, signed
+from .words import WordHashes, batch_words, gram_hashes, grouped, mix, signed, within_texts
 
 NGRAM, THRESHOLD, RECALL, ROWS, BLOCK = 5, 0.8, 0.9999, 5, 256
 
@@ -44,11 +44,16 @@ def _signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     factors = np.random.default_rng(3).integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batch):
-        hashes = WordHashes()
-        grams = [text_grams(hashes((t or "").encode().split()), n) for t in batch.column(2).to_pylist()]
-        sizes = np.array([len(g) for g in grams])
+        words, n_words = batch_words(batch.column(2).to_pylist())
+        at, text = within_texts(n_words, n)
+        flat = gram_hashes(words, n)[at] if len(at) else np.zeros(0, np.uint64)
+        sizes = np.bincount(text, minlength=len(n_words))
+        first = np.cumsum(n_words) - n_words
+        short = np.flatnonzero((n_words > 0) & (n_words < n))  # one n-gram: all their words
+        if len(short):
+            flat = np.insert(flat, (np.cumsum(sizes) - sizes)[short], [text_grams(words[first[i] : first[i] + n_words[i]], n)[0] for i in short])
+            sizes[short] = 1
         some = np.flatnonzero(sizes)
-        flat = np.concatenate([grams[i] for i in some]) if len(some) else np.zeros(0, np.uint64)
         starts = np.cumsum(sizes[some]) - sizes[some]
         out = np.zeros((len(some), bands), np.uint64)
         if len(some):
@@ -57,7 +62,7 @@ def _signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 for r in range(rows):
                     acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(flat * factors[b * rows + r], starts))
                 out[:, b] = acc
-        offsets = np.zeros(len(grams) + 1, np.int32)
+        offsets = np.zeros(len(n_words) + 1, np.int32)
         offsets[some + 1] = bands
         col = pa.ListArray.from_arrays(pa.array(np.cumsum(offsets).astype(np.int32)), pa.array(signed(out.ravel())))
         return {"id": batch.column(0), "full": batch.column(1), "bands": col}
