@@ -2,7 +2,7 @@
 
 Rules (host, path prefix) decide first; the longest rule that fits wins. For
 the other urls, host and path labels are split into words by unigram Viterbi
-segmentation, and a multinomial naive Bayes model, learned from the urls that
+segmentation (listed words that others make up are no words), and a multinomial naive Bayes model, learned from the urls that
 rules decide, scores the words.
 
 Edge cases: a null url or one without ``://`` has an empty host and path, no
@@ -61,10 +61,19 @@ class Segmenter:
 
     def __init__(self, counts: dict[str, int]):
         self.total = max(1, sum(counts.values()))
-        self.logp = {w: math.log(n / self.total) for w, n in counts.items()}
+        self.logp = {w: math.log(n / self.total) for w, n in counts.items() if not self._compound(w, counts)}
         self.longest = min(MAX_WORD, max(map(len, counts), default=1))
         self._seen: dict[str, tuple[str, ...]] = {}
 
+    @staticmethod
+    def _compound(word: str, counts: dict[str, int]) -> bool:
+        """Whether other listed words of at least three letters make up the word."""
+        reach = {0}
+        for j in range(3, len(word) + 1):
+            if any(i in reach and j - i < len(word) and word[i:j] in counts for i in range(max(0, j - MAX_WORD), j - 2)):
+                reach.add(j)
+        return len(word) in reach
+
     def __getstate__(self):
         return self.__dict__ | {"_seen": {}}
 
