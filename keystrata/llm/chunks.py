@@ -26,16 +26,17 @@ class Chunks:
     def clear(self) -> None:
         self.after: dict[str, int] = {}  # chunks that begin with a space, without it
         self.first: dict[str, int] = {}
-        self.flags: list[int] = []
+        self.flags: dict[int, int] = {}  # of chunks that start or end with white space
         self.texts: list[str] = []  # the new ones since drain()
         self._next = count().__next__
 
     def __len__(self) -> int:
-        return len(self.flags)
+        return len(self.after) + len(self.first)
 
     def _add(self, where: dict, key: str, text: str, flags: int) -> int:
         n = where[key] = self._next()
-        self.flags.append(flags)
+        if flags:
+            self.flags[n] = flags
         self.texts.append(text)
         return n
 
@@ -57,13 +58,11 @@ class Chunks:
                     p = parts[i]
                     n = self.after.get(p)
                     got[i] = self._add(self.after, p, " " + p, _blank_ends(p)) if n is None else n
-        if got:
-            f = list(map(self.flags.__getitem__, got))
-            ends = (2 if head and head[-1].isspace() else 0) | 0
-            if any(f) or ends:
-                f = np.array([ends, *f])
-                if ((f[:-1] & 2) & ((f[1:] & 1) << 1)).any():
-                    return np.array([self._whole(text)], np.int64)
+        ends = 2 if head and head[-1].isspace() else 0
+        if got and (ends or not self.flags.keys().isdisjoint(got)):
+            f = np.array([ends, *(self.flags.get(n, 0) for n in got)])
+            if ((f[:-1] & 2) & ((f[1:] & 1) << 1)).any():
+                return np.array([self._whole(text)], np.int64)
         return np.array(([self._whole(head)] if head else []) + got, np.int64)
 
 
