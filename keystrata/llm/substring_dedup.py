@@ -134,7 +134,8 @@ def repeats(df: DataFrame, window: int = WINDOW, text: str = "text", id_col: str
         return cols | {"k": k, "a": signed(gram_hashes(words, window))[starts], "b": signed(gram_hashes(mix(words + np.uint64(1)), window))[starts]}
 
     windows = map_arrow(whole, longer, "id long, cls long, lo long, k long, a long, b long")
-    least = windows.groupBy("a", "b").agg(F.min("id").alias("least"))
+    # a table of its own, so that the join's two sides are plain reads and a hot window can be split
+    least = persist(windows.groupBy("a", "b").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("a", "b", "least"), "windows")
     late = windows.join(least, ["a", "b"]).where("id > least").groupBy("id", "cls", "lo").agg(F.bit_or(F.expr("shiftleft(1L, cast(k as int))")).alias("mask"))
     marks = found.unionByName(late).groupBy("id", "cls").agg(F.collect_list(F.struct("lo", "mask")).alias("marks"))
     return marks.join(copies.withColumn("copy", F.lit(True)), ["id", "cls"], "full").select("id", "cls", F.coalesce("copy", F.lit(False)).alias("copy"), "marks")
