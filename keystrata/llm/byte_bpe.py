@@ -3,8 +3,8 @@
 Texts are cut by the tokenizer's pattern. The distinct words of each block of
 documents go through a Spark higher-order fold: the state is the list of token
 ids and the ranks of neighbouring pairs; each step merges the leftmost pair of
-least rank. Pair ranks come from a literal map, laid out as a perfect hash so
-that a look-up takes constant time; a token's rank is its id. Decoding joins the binary pieces
+least rank. Pair ranks come from a literal map, a sparse matrix whose rows are
+laid over each other so that a look-up takes constant time; a token's rank is its id. Decoding joins the binary pieces
 of the ids. Blocks are bounded in bytes, so no step needs the whole vocabulary
 of the corpus, and nothing is shuffled.
 
@@ -19,7 +19,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import random
 from functools import cache
 
 import numpy as np
@@ -31,9 +30,8 @@ from .chunks import Chunks, Ragged
 from .common import map_arrow
 
 LONG = 512
-BLOCK_CHARS = 16 << 20
-BUCKETS, PLACES = 1 << 15, 1 << 18
-EMPTY = 1 << 50
+BLOCK_CHARS = 32 << 20
+NO_PAIR = 65536
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,37 +40,52 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @cache
-def rank_table(path: str) -> tuple[tuple, tuple, tuple, tuple, tuple]:
-    """Ids of the 256 bytes; shifts of buckets; entries ``(l * 65536 + r) * 65536 + merged``; pieces in hex; multipliers."""
+def rank_table(path: str) -> tuple[tuple, tuple, tuple, tuple]:
+    """Numbers of the 256 bytes; where each left number's row starts; the rows, laid over each other; pieces in hex.
+
+    A token's number is its rank plus 1. The pair ``l, r`` is at ``starts[l] + r``
+    as ``l * 65536 + merged``; a place no pair takes holds 0.
+    """
     ranks = read_ranks(path)
     size = max(ranks.values()) + 1
-    if size > 65536:
-        raise ValueError("the packed table takes ranks below 65536")
-    pairs = [(left, right, rank) for token, rank in ranks.items() for i in range(1, len(token)) if (left := ranks.get(token[:i])) is not None and (right := ranks.get(token[i:])) is not None]
-    if len(pairs) > PLACES * 3 // 4:
-        raise ValueError("too many pairs for the table")
-    rng = random.Random(2)
-    while True:  # until no two pairs of a bucket share a place
-        multipliers = (7919, rng.randrange(1 << 31) | 1, rng.randrange(1 << 31) | 1)
-        buckets: list[list[tuple[int, int]]] = [[] for _ in range(BUCKETS)]
-        for left, right, rank in pairs:
-            buckets[(left * multipliers[0] + right) % BUCKETS].append(((left * multipliers[1] + right * multipliers[2]) % PLACES, (left * 65536 + right) * 65536 + rank))
-        if all(len({x for x, _ in b}) == len(b) for b in buckets):
-            break
-    table, shift = [EMPTY] * PLACES, [0] * BUCKETS
-    for b in sorted(range(BUCKETS), key=lambda b: -len(buckets[b])):
+    if size > 65534:
+        raise ValueError("the packed table takes ranks below 65534")
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for token, rank in ranks.items():
+        for i in range(1, len(token)):
+            left, right = ranks.get(token[:i]), ranks.get(token[i:])
+            if left is not None and right is not None:
+                rows.setdefault(left + 1, []).append((right + 1, rank + 1))
+    total = sum(map(len, rows.values()))
+    table, free = np.zeros(0, np.int64), np.ones(0, bool)
+    starts = np.zeros(size + 1, np.int64)
+    rng = np.random.default_rng(2)
+    span = 4 * total + 1
+    for left in sorted(rows, key=lambda k: -len(rows[k])):  # full rows first
+        right, merged = np.array(rows[left], np.int64).T
         while True:
-            at = rng.randrange(PLACES)
-            if all(table[(x + at) % PLACES] == EMPTY for x, _ in buckets[b]):
+            if len(free) < span + size + 1:
+                more = span + size + 1 - len(free)
+                table, free = np.concatenate([table, np.zeros(more, np.int64)]), np.concatenate([free, np.ones(more, bool)])
+            for _ in range(64):
+                at = rng.integers(0, span, 256)
+                for r in right:
+                    at = at[free[at + r]]
+                    if not len(at):
+                        break
+                if len(at):
+                    break
+            if len(at):
                 break
-        shift[b] = at
-        for x, entry in buckets[b]:
-            table[(x + at) % PLACES] = entry
+            span += total
+        starts[left] = at[0]
+        table[at[0] + right] = left * 65536 + merged
+        free[at[0] + right] = False
     pieces = [""] * size
     for token, rank in ranks.items():
         pieces[rank] = token.hex()
-    first = tuple(ranks[bytes([i])] for i in range(256))
-    return first, tuple(shift), tuple(table), tuple(pieces), multipliers
+    first = tuple(ranks[bytes([i])] + 1 for i in range(256))
+    return first, tuple(starts.tolist()), tuple(table.tolist()), tuple(pieces)
 
 
 def _literal(values, kind: str) -> Column:
@@ -88,36 +101,38 @@ def _let(value: Column, body) -> Column:
 def encode_words(words: Column, path: str) -> Column:
     """Token ids of each word; ``words`` is an array of arrays of byte values.
 
-    The state holds a null in front of the ids, and for each place the rank of
-    the pair that starts there. An entry of the table XOR the pair's key is the
-    rank if the pair is in the vocabulary and at least 65536 otherwise.
+    The state is one number a token, after a null in front: the number that its
+    pair with the next token merges to (``NO_PAIR`` if none), its first byte's
+    place and its own number, 16 bits each of the latter two. The least of the
+    state is hence the leftmost pair of least rank, and a place never changes.
+    An entry of the table XOR the left number's bits is the merged number if the
+    pair is in the vocabulary and at least 65536 otherwise.
     """
-    first, shift, table, _, by = rank_table(path)
-    first, shift, table = _literal(first, "bigint"), _literal(shift, "bigint"), _literal(table, "bigint")
-    rest = F.lit(1 << 20)
+    first, starts, table, _ = rank_table(path)
+    first, starts, table = _literal(first, "bigint"), _literal(starts, "int"), _literal(table, "bigint")
+    rest, low, high, none = F.lit(1 << 20), F.lit(0xFFFF).cast("bigint"), F.lit(1 << 32).cast("bigint"), F.lit(NO_PAIR).cast("bigint")
 
     def pair(left: Column, right: Column) -> Column:
-        bucket = (left * by[0] + right).bitwiseAND(F.lit(BUCKETS - 1).cast("bigint")).cast("int")
-        place = (left * by[1] + right * by[2] + F.get(shift, bucket)).bitwiseAND(F.lit(PLACES - 1).cast("bigint")).cast("int")
-        return F.get(table, place).bitwiseXOR(left * (1 << 32) + right * 65536)
+        found = F.get(table, F.get(starts, left.cast("int")) + right.cast("int"))
+        return F.least(F.shiftleft(left, 16).bitwiseXOR(found), none)  # nulls do not count
 
     def start(word: Column) -> Column:
         ids = F.transform(word, lambda b: F.get(first, b))
-        none = F.array(F.lit(None).cast("bigint"))
-        return _let(ids, lambda x: F.struct(F.concat(none, x).alias("ids"), F.concat(none, F.zip_with(x, F.slice(x, 2, rest), pair)).alias("ranks")))
+        return _let(ids, lambda x: F.concat(F.array(F.lit(None).cast("bigint")), F.transform(x, lambda v, i: F.shiftleft(pair(v, F.get(x, i + 1)), 32) + F.shiftleft(i, 16) + v)))
 
     def step(state: Column, _: Column) -> Column:
-        def merge(m: Column) -> Column:
-            ids, ranks, i, new = state["ids"], state["ranks"], m["i"], m["m"]
-            return F.struct(
-                F.concat(F.slice(ids, 1, i - 1), F.array(new), F.slice(ids, i + 2, rest)).alias("ids"),
-                F.concat(F.slice(ranks, 1, i - 2), F.array(pair(F.get(ids, i - 2), new), pair(new, F.get(ids, i + 1))), F.slice(ranks, i + 2, rest)).alias("ranks"),
+        def merge(m: Column, i: Column) -> Column:
+            new, before = F.shiftright(m, 32), F.get(state, i - 2)
+            left = F.shiftleft(pair(before.bitwiseAND(low), new), 32) + F.pmod(before, high)
+            return F.concat(
+                F.slice(state, 1, i - 2),
+                F.array(left, F.shiftleft(pair(new, F.get(state, i + 1).bitwiseAND(low)), 32) + (F.pmod(m, high) - m.bitwiseAND(low) + new)),
+                F.slice(state, i + 2, rest),
             )
 
-        found = F.array_min(state["ranks"])
-        return _let(found, lambda m: F.when(m < 65536, _let(F.struct(m.alias("m"), F.array_position(state["ranks"], m).cast("int").alias("i")), merge)).otherwise(state))
+        return _let(F.array_min(state), lambda m: F.when(m < NO_PAIR << 32, _let(F.array_position(state, m).cast("int"), lambda i: merge(m, i))).otherwise(state))
 
-    return F.transform(words, lambda w: F.aggregate(w, start(w), step, lambda s: F.slice(s["ids"], 2, rest)).cast("array<int>"))
+    return F.transform(words, lambda w: F.aggregate(w, start(w), step, lambda s: F.transform(F.slice(s, 2, rest), lambda v: (v.bitwiseAND(low) - 1).cast("int"))))
 
 
 def decode_ids(ids: Column, path: str) -> Column:
