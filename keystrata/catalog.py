@@ -306,7 +306,7 @@ def _(spark, d):
 
 @query("kv_varint", "SELECT o_orderkey, CASE WHEN o_orderkey < 128 THEN printf('%02X', o_orderkey) WHEN o_orderkey < 16384 THEN printf('%02X%02X', (o_orderkey & 127) | 128, o_orderkey >> 7) ELSE printf('%02X%02X%02X', (o_orderkey & 127) | 128, ((o_orderkey >> 7) & 127) | 128, o_orderkey >> 14) END AS varint FROM orders WHERE o_orderkey < 2097152")
 def _(spark, d):
-    return table(spark, d, "orders").where("o_orderkey < 2097152").select("o_orderkey", codecs.varint_hex(F.col("o_orderkey"), 3).alias("varint"))
+    return table(spark, d, "orders").select("o_orderkey", codecs.varint_hex(F.col("o_orderkey")).alias("varint"))
 
 
 @query("kv_varint_decode", "SELECT o_orderkey, o_orderkey AS decoded FROM orders")

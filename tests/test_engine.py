@@ -185,6 +185,18 @@ def test_config():
     assert not config.range_scans().bloom and math.isclose(config.point_lookup().bloom_fpr, 0.001)
 
 
+def test_varint_query_keeps_large_keys(spark, tmp_path):
+    from keystrata import catalog
+
+    numbers = [0, 127, 128, 2097151, 2097152, 1 << 40, (1 << 63) - 1]
+    spark.createDataFrame([(n,) for n in numbers], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: bytes.fromhex(r.varint) for r in catalog.QUERIES["kv_varint"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(numbers)
+    for n, b in got.items():
+        assert sum((x & 127) << 7 * i for i, x in enumerate(b)) == n
+        assert all(x > 127 for x in b[:-1]) and b[-1] < 128 and len(b) == max(1, -(-n.bit_length() // 7))
+
+
 def test_cli(spark, tmp_path):
     import io
 
