@@ -301,7 +301,7 @@ def _(spark, d):
     before = Window.orderBy("_p")
     ends = ends.select("_p", F.lag("_last").over(before).alias("_last"), F.coalesce(F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row a partition
     rows = rows.join(F.broadcast(ends), "_p").select("key", F.coalesce("_prev", "_last").alias("prev"), (F.col("_before") + F.col("_row") - 1).alias("pos"))
-    return rows.select("key", F.when(F.col("pos") % 16 == 0, 0).otherwise(codecs.shared_prefix(F.col("key"), F.col("prev"), 64)).cast("bigint").alias("shared"))
+    return rows.select("key", F.when(F.col("pos") % 16 == 0, 0).otherwise(codecs.shared_prefix(F.col("key"), F.col("prev"))).cast("bigint").alias("shared"))
 
 
 @query("kv_varint", "SELECT o_orderkey, CASE WHEN o_orderkey < 128 THEN printf('%02X', o_orderkey) WHEN o_orderkey < 16384 THEN printf('%02X%02X', (o_orderkey & 127) | 128, o_orderkey >> 7) ELSE printf('%02X%02X%02X', (o_orderkey & 127) | 128, ((o_orderkey >> 7) & 127) | 128, o_orderkey >> 14) END AS varint FROM orders WHERE o_orderkey < 2097152")

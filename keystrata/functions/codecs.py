@@ -51,8 +51,8 @@ def file_number(name: Column) -> Column:
     return F.when(found != "", found.cast("bigint"))
 
 
-def shared_prefix(a: Column, b: Column, most: int) -> Column:
-    """Length of the common prefix of two strings, up to ``most`` characters."""
-    at = F.sequence(F.lit(1), F.lit(most))
-    same = lambda i: (F.substring(a, 1, i) == F.substring(b, 1, i)) & (F.length(a) >= i) & (F.length(b) >= i)
-    return F.coalesce(F.size(F.filter(at, same)), F.lit(0))
+def shared_prefix(a: Column, b: Column) -> Column:
+    """Length of the common prefix of two strings, in characters; 0 where one is null."""
+    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x.eqNullSafe(y))  # the shorter one is filled up with nulls
+    differs = F.array_position(same, False)
+    return F.coalesce(F.when(differs > 0, differs - 1).otherwise(F.length(a)), F.lit(0)).cast("int")

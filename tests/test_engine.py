@@ -197,6 +197,21 @@ def test_varint_query_keeps_large_keys(spark, tmp_path):
         assert all(x > 127 for x in b[:-1]) and b[-1] < 128 and len(b) == max(1, -(-n.bit_length() // 7))
 
 
+def test_shared_prefix_has_no_limit(spark, tmp_path):
+    from os.path import commonprefix
+
+    from keystrata import catalog
+
+    pairs = [("", ""), ("a", ""), ("ab", "abc"), ("abc", "abc"), ("éé日x", "éé日y"), ("𝄞a", "𝄞b"), ("x" * 5000 + "a", "x" * 5000 + "b"), (None, "a")]
+    got = spark.createDataFrame(pairs, "a string, b string").select(codecs.shared_prefix(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in got] == [len(commonprefix([a, b])) if a is not None else 0 for a, b in pairs]
+    urls = sorted(f"https://h.example/{'deep/' * n}{i}" for n in (1, 20, 300) for i in range(7))
+    spark.createDataFrame([(u,) for u in urls], "url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.key: r.shared for r in catalog.QUERIES["kv_shared_prefix"](spark, str(tmp_path)).collect()}
+    assert got == {u: 0 if i % 16 == 0 else len(commonprefix([u, urls[i - 1]])) for i, u in enumerate(urls)}
+    assert max(got.values()) > 1000
+
+
 def test_cli(spark, tmp_path):
     import io
 
