@@ -4,8 +4,8 @@ Documents become pieces of at most ``capacity`` tokens; full pieces fill a
 sequence each. The other pieces are packed by their lengths alone: the driver
 holds a count for each length below the capacity, however many documents there
 are. Bin completion takes the largest piece that is left, enumerates the
-undominated fillings around it, applies a filling to as many bins as the counts
-allow, and prunes branches whose waste bound reaches the incumbent, which
+undominated fillings around it, of any number of pieces, applies a filling to as
+many bins as the counts allow, then to fewer, and prunes branches whose waste bound reaches the incumbent, which
 best-fit decreasing gives first. Pieces of one length are interchangeable; they
 are ranked in parallel by (length, salt) and find their place by rank.
 
@@ -65,55 +65,80 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]
     return [x for group in room.values() for x in group]
 
 
-def fillings(n: np.ndarray, room: int, width: int):
-    """Undominated fillings of ``room`` by at most three pieces, the fullest first.
+def _dominated(filling: Pattern, slack: int, have: int) -> bool:
+    """Whether a piece that is not used could stand for some of the filling's and leave it no emptier.
 
-    A filling of one piece dominates those of more pieces that are no fuller,
-    since its piece could stand for all of theirs; likewise two before three.
+    ``have`` has a bit for each length of which a piece is left over.
     """
-    have = np.flatnonzero(n[: room + 1])
-    if not len(have):
-        return [()]
-    one = int(have[-1])
-    if one == room:
-        return [(one,)]
-    out: list[Pattern] = []
-    best2 = one
-    sums = room - have
-    for gap in range(room - one):
-        other = sums - gap
-        ok = (other >= have) & (other > 0)
-        x, y = have[ok], other[ok]
-        ok = (n[y] > 0) & ((x != y) | (n[x] > 1))
-        if ok.any():
-            found = [(int(b), int(a)) for a, b in zip(x[ok], y[ok], strict=True)][: max(1, width - len(out))]
-            best2 = max(best2, room - gap)
-            out += found
-            if best2 == room or len(out) >= width:
-                break
-    if best2 < room and len(out) < width:
-        for big in have[::-1][:64].tolist():
-            small = have[have <= min(big, room - big)]
-            if not len(small):
+    one, more = 0, 0  # sums of single pieces, and of several
+    for v in filling:
+        more |= (more | one) << v
+        one |= 1 << v
+    if have & more:
+        return True
+    sums = more | one
+    for _ in range(slack):
+        sums <<= 1
+        if have & sums:
+            return True
+    return False
+
+
+def fillings(n: np.ndarray, room: int):
+    """All fillings of ``room``, the fullest first, and for each whether it is undominated.
+
+    Depth first over the distinct lengths, the largest first; sets of the sums
+    that the lengths from each one on can still make lead past dead ends. The
+    sets are made anew after each filling, so that waiting searches hold none.
+    """
+    sizes = np.flatnonzero(n[: room + 1])[::-1].tolist()
+    most = [min(int(n[v]), room // v) for v in sizes]
+    mask = (1 << (room + 1)) - 1
+
+    def sums():
+        out = [1] * (len(sizes) + 1)
+        for i in range(len(sizes) - 1, -1, -1):
+            s, left, step = out[i + 1], most[i], 1
+            while left:
+                step = min(step, left)
+                s |= (s << sizes[i] * step) & mask
+                left -= step
+                step *= 2
+            out[i] = s
+        return out
+
+    can = sums()
+    have = sum(1 << v for v in sizes)
+    for total in range(room, -1, -1):
+        if not can[0] >> total & 1:
+            continue
+        stack = [(0, total, ())]  # next length, tokens to fill, (length, pieces) so far
+        while stack:
+            i, left, chosen = stack.pop()
+            if left:
+                if can is None:
+                    can = sums()
+                while sizes[i] > left:
+                    i += 1
+                v = sizes[i]
+                for k in range(min(most[i], left // v) + 1):  # the most pieces on top
+                    if can[i + 1] >> (left - k * v) & 1:
+                        stack.append((i + 1, left - k * v, (*chosen, (v, k)) if k else chosen))
                 continue
-            third = room - big - small
-            for gap in range(min(8, room - best2)):
-                other = third - gap
-                ok = (other >= small) & (other <= big) & (other > 0)
-                x, y = small[ok], other[ok]
-                ok = (n[y] > 0) & (n[x] >= 1 + (x == y) + (x == big)) & (n[y] >= 1 + (x == y) + (y == big))
-                if ok.any():
-                    i = int(np.flatnonzero(ok)[0])
-                    out.insert(0, (big, int(y[i]), int(x[i])))
-                    break
-            if len(out) >= width or (out and sum(out[0]) == room):
-                break
-    out.sort(key=lambda f: (-sum(f), len(f), tuple(-v for v in f)))
-    return [*out, (one,)]
+            filling = tuple(v for v, k in chosen for _ in range(k))
+            over = have & ~sum(1 << v for v, k in chosen if k == n[v])
+            can = None
+            yield filling, not _dominated(filling, room - total, over)
+        if can is None:
+            can = sums()
 
 
-def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 3_000, width: int = 3) -> list[tuple[Pattern, int]]:
-    """A packing of all pieces into as few bins as the search finds."""
+def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 3_000) -> list[tuple[Pattern, int]]:
+    """A packing of all pieces into as few bins as the search finds in ``nodes`` steps.
+
+    A step takes one more filling around the largest piece. It is applied to as
+    many bins as the counts allow, then to fewer.
+    """
     counts = {k: v for k, v in counts.items() if v}
     best = best_fit(counts, capacity)
     bins = sum(k for _, k in best)
@@ -122,30 +147,41 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
     n = np.zeros(capacity + 1, np.int64)
     for k, v in counts.items():
         n[k] = v
-    stack = [(n, total, (), 0, None)]  # counts, tokens left, chain of patterns, bins used
-    while stack and bins > bound and nodes > 0:
-        nodes -= 1
-        n, left, chain, used, _ = stack.pop()
-        if used + -(-left // capacity) >= bins:  # the waste so far is too much
-            continue
-        if not left:
-            bins, best = used, _unchain(chain)
-            continue
+
+    def branches(n, left, chain, used):
         big = int(np.flatnonzero(n)[-1])
         rest = n.copy()
         rest[big] -= 1
-        for filling in reversed(fillings(rest, capacity - big, width)):
+        for filling, good in fillings(rest, capacity - big):
             pattern = (big, *filling)
+            if not good:
+                yield None
+                continue
             need: dict[int, int] = {}
             for v in pattern:
                 need[v] = need.get(v, 0) + 1
-            times = min(int(n[v]) // k for v, k in need.items())
-            m = n.copy()
-            for v, k in need.items():
-                m[v] -= k * times
-            stack.append((m, left - times * sum(pattern), (chain, pattern, times), used + times, None))
-        if len(stack) > 4000:
-            stack = stack[-2000:]
+            for times in range(min(int(n[v]) // k for v, k in need.items()), 0, -1):
+                m = n.copy()
+                for v, k in need.items():
+                    m[v] -= k * times
+                yield m, left - times * sum(pattern), (chain, pattern, times), used + times
+
+    stack = [branches(n, total, (), 0)] if total else []
+    while stack and bins > bound and nodes > 0:
+        nodes -= 1
+        state = next(stack[-1], ())
+        if state == ():
+            stack.pop()
+            continue
+        if state is None:
+            continue
+        _, left, chain, used = state
+        if used + -(-left // capacity) >= bins:  # the waste so far is too much
+            continue
+        if not left:
+            bins, best = used, _unchain(chain)
+            continue
+        stack.append(branches(*state))
     return best
 
 

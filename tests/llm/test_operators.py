@@ -210,6 +210,22 @@ def test_bin_completion_is_exact_on_small_cases():
         assert Counter(v for p, k in packed for v in p for _ in range(k)) == Counter(items)
 
 
+def test_fillings_of_many_pieces():
+    assert sum(k for _, k in packing.bin_completion({410: 1500, 409: 1000})) == 500
+    r = random.Random(7)
+    for _ in range(60):
+        items, room = sorted((r.randint(1, 9) for _ in range(7)), reverse=True), 24
+        n = np.bincount(items, minlength=room + 1)
+        found = list(packing.fillings(n, room))
+        every = {c for k in range(8) for c in combinations(items, k) if sum(c) <= room}
+        assert {f for f, _ in found} == every and len(found) == len(every)
+        assert [sum(f) for f, _ in found] == sorted(map(sum, every), reverse=True)
+        for f, good in found:
+            over = list((Counter(items) - Counter(f)).elements())
+            parts = [c for k in range(1, len(f) + 1) for c in combinations(f, k)]
+            assert good != any(sum(c) <= x <= sum(c) + room - sum(f) and c != (x,) for x in over for c in parts) if f else True
+
+
 def test_edit_distance():
     def distance(a, b):
         p = list(range(len(b) + 1))
