@@ -2,13 +2,15 @@
 
 Two lines are alike if at most ``edits`` insertions, deletions and
 replacements of characters turn one into the other. If a line is cut into
-``edits`` + 1 segments, any line alike holds one of them unchanged, near its
+one more segment than its edits, any line alike holds one of them unchanged, near its
 place: lines are indexed by (length, segment number, segment), and probe the
 indexes of their own length and the ``edits`` lengths below. Pairs that meet are
 verified with a banded bit-parallel edit distance. A line goes if an equal or
 alike line comes before it, by (id, line number); links are not followed
-further. Lines of under ``min_chars`` characters, without the white space at
-their ends, are too short to tell and stay.
+further. Lines are compared without the white space at their ends; empty ones
+stay. Lines of under ``min_chars`` characters are alike at fewer edits, in
+proportion to the shorter line's length: of 24 characters on at 2 edits, of 12
+on at 1, shorter ones only if they are equal.
 
 Equal lines are one, with their first place. Keys that over ``few`` lines share
 are split into blocks, each pair of blocks a group of its own. Candidate texts
@@ -97,16 +99,28 @@ def segments(length: int, edits: int) -> list[tuple[int, int]]:
     return out
 
 
-def probes(length: int, edits: int) -> list[tuple[int, int, int, int]]:
+def allowed(length: int, edits: int, min_chars: int) -> int:
+    """The edits at which a line is alike one of ``length`` that is no longer."""
+    return min(edits, edits * length // max(1, min_chars))
+
+
+def alike(a: str, b: str, edits: int, min_chars: int) -> bool:
+    return within(a, b, allowed(min(len(a), len(b)), edits, min_chars))
+
+
+def probes(length: int, edits: int, min_chars: int) -> list[tuple[int, int, int, int]]:
     """(indexed length, segment, place, size) that a line of ``length`` looks up.
 
     For each segment only the places that leave enough edits on either side.
     """
     out = []
     for gap in range(edits + 1):
-        for i, (p, n) in enumerate(segments(length - gap, edits)):
-            low = max(0, p - i, p + gap - (edits - i))
-            high = min(length - n, p + i, p + gap + (edits - i))
+        k = allowed(length - gap, edits, min_chars)
+        if not k or gap > k:  # equal lines need no index
+            continue
+        for i, (p, n) in enumerate(segments(length - gap, k)):
+            low = max(0, p - i, p + gap - (k - i))
+            high = min(length - n, p + i, p + gap + (k - i))
             out.extend((length - gap, i, at, n) for at in range(low, high + 1))
     return out
 
@@ -130,8 +144,8 @@ def long_lines(text: str | None, min_chars: int):
 class Keys:
     """Segment keys of lines; plans are kept by length."""
 
-    def __init__(self, edits: int):
-        self.edits = edits
+    def __init__(self, edits: int, min_chars: int):
+        self.edits, self.min_chars = edits, min_chars
         self.plans: dict[int, tuple[list, list]] = {}
 
     def __call__(self, line: str) -> tuple[list[int], int]:
@@ -139,8 +153,9 @@ class Keys:
         n = len(line)
         plan = self.plans.get(n)
         if plan is None:
-            own = [(n, i, p, s) for i, (p, s) in enumerate(segments(n, self.edits))]
-            rest = [q for q in probes(n, self.edits) if q not in own]
+            k = allowed(n, self.edits, self.min_chars)
+            own = [(n, i, p, s) for i, (p, s) in enumerate(segments(n, k))] if k else []
+            rest = [q for q in probes(n, self.edits, self.min_chars) if q not in own]
             if len(self.plans) > 20_000:
                 self.plans.clear()
             plan = self.plans[n] = ([(m * 16 + i, p, p + s) for m, i, p, s in own + rest], len(own))
@@ -158,9 +173,9 @@ def _entries(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """``key, line, indexed``: segment entries of the distinct lines of each batch."""
 
     def run(batch):
-        keys, out, ids, n, own, seen = Keys(edits), [], [], [], [], set()
+        keys, out, ids, n, own, seen = Keys(edits, min_chars), [], [], [], [], set()
         for t in batch.column(0).to_pylist():
-            for _, line in long_lines(t, min_chars):
+            for _, line in long_lines(t, 1):
                 if line not in seen:
                     seen.add(line)
                     k, indexed = keys(line)
@@ -244,7 +259,7 @@ def _meet(entries: DataFrame, few: int) -> DataFrame:
     return entries.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, key long")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``line, low, text`` of the wanted lines (``line``), each once."""
     bit = F.pmod("line", F.lit(BITMAP_WORDS * 64).cast("long"))
     words = wanted.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(line, {BITMAP_WORDS * 64}L) & 63 as int))")).alias("bits")).toArrow()  # BITMAP_WORDS rows at most
@@ -254,7 +269,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
     def run(batch):
         rows = {}
         for t in batch.column(0).to_pylist():
-            for _, line in long_lines(t, min_chars):
+            for _, line in long_lines(t, 1):
                 if line not in rows:
                     high, low = line_key(line)
                     at = high % (BITMAP_WORDS * 64)
@@ -266,19 +281,19 @@ def _texts(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
     return found.groupBy("line", "low").agg(F.first("text").alias("text")).join(wanted, "line", "left_semi")
 
 
-def _verify_pairs(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+def _verify_pairs(pairs: DataFrame, texts: DataFrame, edits: int, min_chars: int) -> DataFrame:
     x = texts.select(F.col("line").alias("a"), F.col("low").alias("a_low"), F.col("text").alias("a_text"))
     y = texts.select(F.col("line").alias("b"), F.col("low").alias("b_low"), F.col("text").alias("b_text"))
 
     def run(batch):
-        ok = [within(s, t, edits) for s, t in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+        ok = [alike(s, t, edits, min_chars) for s, t in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
         return batch.filter(pa.array(ok, pa.bool_())).select([0, 1, 2, 3])
 
     both = pairs.join(x, "a").join(y, "b").select("a", "a_low", "b", "b_low", "a_text", "b_text")
     return map_arrow(both, run, "a long, a_low long, b long, b_low long")
 
 
-def _verify_blocks(hot: DataFrame, texts: DataFrame, firsts: DataFrame, edits: int, block: int) -> DataFrame:
+def _verify_blocks(hot: DataFrame, texts: DataFrame, firsts: DataFrame, edits: int, min_chars: int, block: int) -> DataFrame:
     """``line, low, before``: the first place of an alike line under a crowded key, if it is earlier."""
     sizes = hot.groupBy("key").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
     place = F.struct("first.id", "first.at")
@@ -296,7 +311,7 @@ def _verify_blocks(hot: DataFrame, texts: DataFrame, firsts: DataFrame, edits: i
             for q, j in enumerate(order):  # the earliest alike line before it
                 s = text[j]
                 for i in order[:q]:
-                    if (x == y or own[i] != own[j]) and line[i] != line[j] and within(text[i], s, edits):
+                    if (x == y or own[i] != own[j]) and line[i] != line[j] and alike(text[i], s, edits, min_chars):
                         out.append((line[j], cols["low"][j], cols["id"][i], cols["at"][i]))
                         break
         if out:
@@ -312,7 +327,7 @@ def removed_lines(df: DataFrame, text: str, id_col: str, edits: int, min_chars:
     def occur(batch):
         rows = []
         for i, c, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            rows.extend((*line_key(line), i, c, at) for at, line in long_lines(t, min_chars))
+            rows.extend((*line_key(line), i, c, at) for at, line in long_lines(t, 1))
         cols = list(zip(*rows, strict=True)) or [[]] * 5
         return dict(zip(("line", "low", "id", "cls", "at"), map(list, cols), strict=True))
 
@@ -323,12 +338,12 @@ def removed_lines(df: DataFrame, text: str, id_col: str, edits: int, min_chars:
     pairs = met.where("b IS NOT NULL").select("a", "b").distinct()
     hot = met.where("b IS NULL").select("key", F.col("a").alias("line")).distinct()
     wanted = met.select(F.col("a").alias("line")).unionByName(met.where("b IS NOT NULL").select(F.col("b").alias("line"))).distinct()
-    texts = persist(_texts(docs, wanted, min_chars), "texts")
-    links = persist(_verify_pairs(pairs, texts, edits), "links")
+    texts = persist(_texts(docs, wanted), "texts")
+    links = persist(_verify_pairs(pairs, texts, edits, min_chars), "links")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("b_low").alias("a_low"), F.col("a").alias("b"), F.col("a_low").alias("b_low")))
     other = firsts.select(F.col("line").alias("b"), F.col("low").alias("b_low"), F.col("first").alias("before"))
     near = both.join(other, ["b", "b_low"]).select(F.col("a").alias("line"), F.col("a_low").alias("low"), "before")
-    near = near.unionByName(_verify_blocks(hot, texts, firsts, edits, block)).groupBy("line", "low").agg(F.min("before").alias("before"))
+    near = near.unionByName(_verify_blocks(hot, texts, firsts, edits, min_chars, block)).groupBy("line", "low").agg(F.min("before").alias("before"))
     judged = firsts.join(near, ["line", "low"], "left").where("n > 1 OR before < first").select("line", "low", "first", (F.coalesce(F.col("before") < F.col("first"), F.lit(False))).alias("all"))
     late = occurs.join(judged, ["line", "low"]).where(F.col("all") | (F.col("id") > F.col("first.id")) | (F.col("at") > F.col("first.at")))
     return late.groupBy("id", "cls").agg(F.collect_set("at").alias("lines"))

@@ -261,6 +261,30 @@ def test_lines(docs, rows, nothing, few):
         assert line_dedup.op7_lines(nothing).count() == 0
 
 
+@pytest.mark.parametrize("few", [64, 1])
+def test_short_lines(spark, few):
+    r = random.Random(9)
+    lines = ["".join(r.choice("ab") for _ in range(n)) for n in range(1, 12) for _ in range(3)]
+    for n in (11, 12, 13, 17, 22, 23, 24, 25, 26):
+        x = "".join(r.choice("abcdefgh") for _ in range(n))
+        lines += [x, x[:3] + "Z" + x[4:], x[:5] + x[6:], "Z" + x, "ZY" + x, x[:-2], x[2:7] + "Q" + x[7:]]
+    r.shuffle(lines)
+    rows = [(i, "\n".join([*lines[3 * i : 3 * i + 3], "", " page ", "page"])) for i in range(len(lines) // 3 + 1)]
+    first = {}
+    for k, t in rows:
+        for at, line in enumerate(map(str.strip, t.split("\n"))):
+            first.setdefault(line, (k, at))
+    near = lambda a, b: line_dedup.within(a, b, min(2, min(len(a), len(b)) // 12))
+    late = {a for a in first for b in first if first[b] < first[a] and near(a, b)}
+    expected = []
+    for k, t in rows:
+        kept = [x for at, x in enumerate(t.split("\n")) if not x.strip() or x.strip() not in late and first[x.strip()] == (k, at)]
+        expected.append((k, t.count("\n") + 1, t.count("\n") + 1 - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    assert sum(len(x) < 24 for x in late) > 10
+    got = collected(line_dedup.op7_lines(spark.createDataFrame(rows, "doc_id long, text string"), few=few, block=2), "doc_id", "n_lines", "n_removed", "kept_sha256")
+    assert got == sorted(expected, key=repr)
+
+
 @pytest.mark.parametrize("block", [4096, 60])
 def test_embeddings(spark, block):
     r = np.random.default_rng(0)
