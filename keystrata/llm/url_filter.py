@@ -7,20 +7,20 @@ rules decide, scores the words.
 
 Edge cases: a null url or one without ``://`` has an empty host and path, no
 rule, and the verdict of the model's prior. Without any url that a rule
-decides, the verdict is ``allow``. Repeated rows are judged alike. The word
-list holds the ``max_words`` most frequent tokens of all urls (ties by word):
-that is the size of the model, not a cap on rows.
+decides, the verdict is ``allow``. Repeated rows are judged alike. All letter
+runs of all urls are words with counts, and naive Bayes counts them all. The
+``listed`` most frequent are held in memory and broadcast; the rest is met by
+joins, with the same results.
 """
 
 from __future__ import annotations
 
 import math
-import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, persist
 
 #: (verdict, host, path prefix)
 RULES = (
@@ -30,11 +30,9 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-MAX_WORDS = 50_000
-MAX_WORD = 24
+LISTED = 50_000
 UNKNOWN = "<unk>"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LETTERS = re.compile("[a-z]+")
 
 
 def host_of(url: Column) -> Column:
@@ -57,43 +55,40 @@ def match(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 class Segmenter:
-    """Viterbi segmentation by word counts; runs outside the list are one unknown word."""
+    """Viterbi segmentation by word counts; runs outside the words are one unknown word.
 
-    def __init__(self, counts: dict[str, int]):
-        self.total = max(1, sum(counts.values()))
-        self.logp = {w: math.log(n / self.total) for w, n in counts.items() if not self._compound(w, counts)}
-        self.longest = min(MAX_WORD, max(map(len, counts), default=1))
-        self._seen: dict[str, tuple[str, ...]] = {}
+    Holds the listed words; ``late`` gives the others that a run holds.
+    """
 
-    @staticmethod
-    def _compound(word: str, counts: dict[str, int]) -> bool:
-        """Whether other listed words of at least three letters make up the word."""
+    def __init__(self, listed: dict[str, int], total: int, lengths: list[int]):
+        self.listed, self.total, self.lengths = listed, max(1, total), sorted(lengths, reverse=True)
+
+    def others(self, run: str) -> set[str]:
+        """Parts of the run, as long as some word, that are not listed."""
+        parts = {run[i : i + n] for n in self.lengths for i in range(len(run) - n + 1)}
+        return {x for x in parts if x not in self.listed}
+
+    def compound(self, word: str, late: dict[str, int]) -> bool:
+        """Whether other words of at least three letters make up the word."""
         reach = {0}
         for j in range(3, len(word) + 1):
-            if any(i in reach and j - i < len(word) and word[i:j] in counts for i in range(max(0, j - MAX_WORD), j - 2)):
-                reach.add(j)
+            for n in self.lengths:
+                if 3 <= n <= j and n < len(word) and j - n in reach and (word[j - n : j] in self.listed or word[j - n : j] in late):
+                    reach.add(j)
+                    break
         return len(word) in reach
 
-    def __getstate__(self):
-        return self.__dict__ | {"_seen": {}}
-
-    def split(self, run: str) -> tuple[str, ...]:
-        """The words of a run of letters; a bounded number of answers is kept."""
-        if run not in self._seen:
-            if len(self._seen) > 200_000:
-                self._seen.clear()
-            self._seen[run] = self._split(run)
-        return self._seen[run]
-
-    def _split(self, run: str) -> tuple[str, ...]:
+    def split(self, run: str, late: dict[str, int]) -> list[str]:
         best, back = [0.0], [0]
         unknown = -math.log(self.total) - 10.0
         for j in range(1, len(run) + 1):
             score, at = best[j - 1] + unknown, -(j - 1) - 1
-            for i in range(max(0, j - self.longest), j):
-                p = self.logp.get(run[i:j])
-                if p is not None and best[i] + p > score:
-                    score, at = best[i] + p, i
+            for n in self.lengths:
+                if n > j:
+                    continue
+                k = self.listed.get(run[j - n : j]) or late.get(run[j - n : j])
+                if k and best[j - n] + math.log(k / self.total) > score:
+                    score, at = best[j - n] + math.log(k / self.total), j - n
             best.append(score)
             back.append(at)
         out, j = [], len(run)
@@ -106,81 +101,90 @@ class Segmenter:
             else:
                 out.append(run[i:j])
             j = i
-        return tuple(reversed(out))
+        return out[::-1]
 
-    def words(self, host: str, path: str) -> list[str]:
-        """Host words are marked, so that the two parts are scored apart."""
-        h = [f"h:{w}" for r in _LETTERS.findall(host) for w in self.split(r)]
-        return h + [f"p:{w}" for r in _LETTERS.findall(path.lower()) for w in self.split(r)]
 
+def _met(left: DataFrame, right: DataFrame, key: str, order: str, listed: int) -> DataFrame:
+    """The inner join by ``key``, unique in ``right``; its ``listed`` rows of most ``order`` are broadcast."""
+    top = right.orderBy(F.desc(order), key).limit(listed)
+    if right.count() <= listed:
+        return left.join(F.broadcast(right), key)
+    top = persist(top, "top")
+    rest = left.join(F.broadcast(top.select(key)), key, "left_anti").join(right, key)
+    return left.join(F.broadcast(top), key).unionByName(rest)
 
-def _tokens(urls: DataFrame) -> DataFrame:
-    both = F.split(F.lower(F.concat_ws("/", "host", "path")), "[^a-z]+")
-    return urls.select(F.explode(both).alias("word")).where(F.length("word").between(1, MAX_WORD))
 
+def _runs(part: str) -> Column:
+    return F.regexp_extract_all(F.lower(part), F.lit("([a-z]+)"))
 
-def fit_segmenter(urls: DataFrame, max_words: int = MAX_WORDS) -> Segmenter:
-    top = _tokens(urls).groupBy("word").count().orderBy(F.desc("count"), "word").limit(max_words)
-    return Segmenter({r["word"]: r["count"] for r in top.toLocalIterator()})
 
+def split_runs(counts: DataFrame, listed: int) -> DataFrame:
+    """``run, n, words``: the words of each distinct run of letters."""
+    size = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    lengths = [r[0] for r in counts.select(F.length("run")).distinct().collect()]
+    known = Segmenter({r.run: r.n for r in counts.orderBy(F.desc("n"), "run").limit(listed).collect()}, size[1], lengths)
 
-class NaiveBayes:
-    """Multinomial naive Bayes with add-one smoothing over verdicts."""
+    def others(batch):
+        pairs = [(r, x) for r in batch.column(0).to_pylist() for x in sorted(known.others(r))]
+        return {"run": [r for r, _ in pairs], "part": [x for _, x in pairs]}
 
-    def __init__(self, counts: list[tuple[str, str, int]], docs: dict[str, int]):
-        vocabulary = {w for _, w, _ in counts}
-        n = sum(docs.values())
-        self.prior = {v: math.log(k / n) for v, k in sorted(docs.items())}
-        totals = {v: sum(k for u, _, k in counts if u == v) for v in docs}
-        self.unseen = {v: -math.log(totals[v] + len(vocabulary) + 1) for v in docs}
-        self.logp = {(v, w): math.log((k + 1) / (totals[v] + len(vocabulary) + 1)) for v, w, k in counts}
+    late = None
+    if size[0] > listed:
+        late = map_arrow(counts.select("run"), others, "run string, part string").join(counts.select(F.col("run").alias("part"), F.col("n").alias("k")), "part")
+        late = persist(late.select("run", "part", "k"), "parts")
 
-    def log_odds(self, words: list[str]) -> float:
-        """Log-odds of ``block``; 0 where a verdict was never seen."""
-        if len(self.prior) < 2:
-            return 1.0 if "block" in self.prior else -1.0
-        s = {v: p + sum(self.logp.get((v, w), self.unseen[v]) for w in words) for v, p in self.prior.items()}
-        return s["block"] - s["allow"]
+    def with_late(parts):
+        if parts is None:
+            return counts.select("run", "n", F.lit(None).cast("array<struct<part:string,k:bigint>>").alias("late"))
+        return counts.join(parts.groupBy("run").agg(F.collect_list(F.struct("part", "k")).alias("late")), "run", "left").select("run", "n", "late")
 
+    def read(batch):
+        for r, late in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            yield r, {x["part"]: x["k"] for x in late or ()}
 
-def fit_bayes(urls: DataFrame, segmenter: Segmenter) -> NaiveBayes:
-    """Learn from the urls with a ``ruled`` verdict, all of them."""
+    def simple(batch):
+        return {"run": batch.column(0), "n": batch.column(1), "simple": [not known.compound(r, x) for r, x in read(batch)]}
 
-    def run(batch):
-        from collections import Counter
+    words = persist(map_arrow(with_late(late), simple, "run string, n long, simple boolean"), "words").where("simple")
+    top = counts.orderBy(F.desc("n"), "run").limit(listed)
+    model = Segmenter({r.run: r.n for r in words.join(top.select("run"), "run", "left_semi").collect()}, size[1], lengths)
+    late = None if late is None else late.join(words.select(F.col("run").alias("part")), "part", "left_semi")
 
-        n: Counter = Counter()
-        for host, path, v in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            n[v, ""] += 1
-            n.update((v, w) for w in segmenter.words(host, path))
-        return {"verdict": [v for v, _ in n], "word": [w for _, w in n], "n": list(n.values())}
+    def split(batch):
+        return {"run": batch.column(0), "n": batch.column(1), "words": [model.split(r, x) for r, x in read(batch)]}
 
-    known = urls.where(F.col("ruled").isNotNull()).select("host", "path", "ruled")
-    rows = map_arrow(known, run, "verdict string, word string, n long").groupBy("verdict", "word").agg(F.sum("n").alias("n")).collect()  # at most two rows a listed word
-    return NaiveBayes([(r.verdict, r.word, r.n) for r in rows if r.word], {r.verdict: r.n for r in rows if not r.word})
+    return persist(map_arrow(with_late(late), split, "run string, n long, words array<string>"), "splits")
 
 
-def op5_urls(df: DataFrame, url: str = "url", id_col: str = "page_id", rules=RULES, max_words: int = MAX_WORDS) -> DataFrame:
+def op5_urls(df: DataFrame, url: str = "url", id_col: str = "page_id", rules=RULES, listed: int = LISTED) -> DataFrame:
     """``id_col, host, path, rule, verdict, words, log_odds``: every url judged."""
     urls = df.select(F.col(id_col).alias("key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rule, verdict = match(F.col("host"), F.col("path"), rules)
-    urls = urls.select("*", rule.alias("rule"), verdict.alias("ruled"))
-    segmenter = fit_segmenter(urls, max_words)
-    model = fit_bayes(urls, segmenter)
-
-    def run(batch):
-        words = [segmenter.words(h, p) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        odds = [model.log_odds(w) for w in words]
-        ruled = batch.column(4).to_pylist()
-        return {
-            id_col: batch.column(0),
-            "host": batch.column(1),
-            "path": batch.column(2),
-            "rule": batch.column(3),
-            "verdict": [r or ("block" if o > 0 else "allow") for r, o in zip(ruled, odds, strict=True)],
-            "words": [" ".join(w) for w in words],
-            "log_odds": odds,
-        }
-
-    kind = dict(df.dtypes)[id_col]
-    return map_arrow(urls, run, f"{id_col} {kind}, host string, path string, rule string, verdict string, words string, log_odds double")
+    urls = persist(urls.select(F.monotonically_increasing_id().alias("row"), "*", rule.alias("rule"), verdict.alias("ruled")), "urls")
+    # host words are marked, so that the two parts are scored apart
+    found = [F.arrays_zip(F.array_repeat(F.lit(m), F.size(x)).alias("mark"), x.alias("run")) for m, x in (("h:", _runs("host")), ("p:", _runs("path")))]
+    runs = urls.select("row", F.posexplode(F.concat(*found)).alias("pos", "r")).select("row", "pos", "r.mark", "r.run")
+    counts = persist(runs.groupBy("run").agg(F.count("*").alias("n")), "runs")
+    split = _met(runs, split_runs(counts, listed), "run", "n", listed)
+    split = split.select("row", "pos", F.transform("words", lambda w: F.concat("mark", w)).alias("words")).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "words"))).alias("w"))
+    none = F.array().cast("array<string>")
+    urls = persist(urls.join(split.select("row", F.flatten(F.transform("w", lambda x: x["words"])).alias("words")), "row", "left").withColumn("words", F.coalesce("words", none)), "split")
+
+    # naive Bayes with add-one smoothing over verdicts, from all urls that rules decide
+    docs = {r.ruled: r["count"] for r in urls.where("ruled IS NOT NULL").groupBy("ruled").count().collect()}
+    of = {v: F.coalesce(F.sum((F.col("ruled") == v).cast("long")), F.lit(0)) for v in ("block", "allow")}
+    seen = urls.where("ruled IS NOT NULL").select("ruled", F.explode("words").alias("word")).groupBy("word").agg(*(c.alias(v) for v, c in of.items()))
+    seen = persist(seen.withColumn("n", F.col("block") + F.col("allow")), "bayes")
+    if len(docs) < 2:  # a verdict was never seen
+        odds = F.lit(1.0 if "block" in docs else -1.0)
+    else:
+        t = seen.agg(F.count("*").alias("v"), *(F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in of)).first()
+        unseen = math.log(t.allow + t.v + 1) - math.log(t.block + t.v + 1)
+        gain = F.log(F.col("block") + 1.0) - F.log(F.col("allow") + 1.0)
+        gains = _met(urls.select("row", F.explode("words").alias("word")), seen.select("word", "n", gain.alias("gain")), "word", "n", listed)
+        gains = gains.groupBy("row").agg(F.array_sort(F.collect_list("gain")).alias("gains"))  # summed in order, so that equal urls have equal odds
+        urls = urls.join(gains, "row", "left")
+        odds = F.lit(math.log(docs["block"]) - math.log(docs["allow"])) + F.size("words") * unseen + F.coalesce(F.aggregate("gains", F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
+    out = urls.withColumn("log_odds", odds)
+    judged = F.coalesce("ruled", F.when(F.col("log_odds") > 0, "block").otherwise("allow"))
+    return out.select(F.col("key").alias(id_col), "host", "path", "rule", judged.alias("verdict"), F.concat_ws(" ", "words").alias("words"), "log_odds")

@@ -159,6 +159,18 @@ def test_urls(spark):
     assert url_filter.op5_urls(df.limit(0)).count() == 0
 
 
+def test_urls_keep_all_words(spark):
+    long = "abcdefghijklmnopqrstuvwxyzabcd"
+    words = ["spam", "farm", "news", "site", "page", "rare", "other"]
+    urls = [f"http://{a}.{b}/{c}" for n, a in enumerate(words) for b in ("net", "com", "org") for c in ("es/" + a * (n % 2), "en/" + words[n - 1], "fr/" + a + words[n - 1])]
+    urls += [f"http://x.net/es/{long}", f"http://x.org/{long}", f"http://x.org/{long}spam", "http://x.org/spamrarefarm", "http://x.org/zq1"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [{r.page_id: (r.verdict, r.words, r.log_odds) for r in url_filter.op5_urls(df, listed=k).collect()} for k in (50_000, 3, 0)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(urls)
+    at = len(urls) - 5
+    assert [got[0][at + i][1].split()[2:] for i in range(4)] == [["p:es", f"p:{long}"], [f"p:{long}"], [f"p:{long}", "p:spam"], ["p:spam", "p:rare", "p:farm"]]
+
+
 def test_packing(docs, rows, nothing):
     t = packing._tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
     ids = defaultdict(list)
