@@ -1,4 +1,7 @@
-"""Operator 4: substring dedup by prefix-partitioned suffix trees.
+"""Operator 4: substring dedup by minimiser groups of fixed windows.
+
+They replace prefix-partitioned suffix trees: passages of one fixed length need
+no tree depths or maximal repeats.
 
 A window is ``window`` consecutive words. Suffixes of all texts are split into
 groups by prefix: the group of a suffix is the least ``gram``-word prefix hash
@@ -7,8 +10,7 @@ texts are, and only about one position in thirteen names a group. Groups that
 only one text has are pruned. In each other group the suffixes are sorted word by word,
 which lays out the subtree's leaves in order; an internal node at depth
 ``window`` is a run of neighbours that share that many words, a repeat. Groups
-of over ``group_rows`` members get longer prefixes: the whole window, at whose
-depth a group is a single node, for which the smallest id is all that counts.
+of over ``group_rows`` members are grouped by hashes of whole windows, for which the smallest id is all that counts.
 
 Edge cases: null and empty texts have no words and keep none. Rows without an
 id neither serve as a source nor lose words. Exact copies are judged by digest:
