@@ -6,6 +6,7 @@ kept. All but the last return the columns of documents.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +17,12 @@ from keystrata.llm.common import persist, table
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found; ``und`` goes.
 
-    The profiles are learned from all documents with a language.
+    The profiles are learned from all documents with a language. Where there are
+    none, nothing can be told apart and every document with a letter stays.
     """
     names, protos = language_id.fit(docs, "text", "lang")
+    if not names:
+        names, protos = ["unknown"], np.zeros((1, language_id.DIMENSIONS))
     found = language_id.predict(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("t")), "t", names, protos)
     return found.where("lang_pred <> 'und'").select("row.*")
 

@@ -377,3 +377,8 @@ def test_pipeline(spark, docs, rows):
     assert 12 not in kept[2] and 13 not in kept[2] or not kept[1][12]  # copies of document 0
     packed = corpus_pipeline.STAGES[-1][1](spark, out, "").collect()
     assert {r.doc_id for r in packed} == set(kept[3])
+
+
+def test_pipeline_without_languages(spark):
+    df = spark.createDataFrame([(1, "some words", None), (2, "12 !", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in corpus_pipeline.identify_language(spark, df, "").collect()] == [1]
