@@ -5,8 +5,13 @@ documents go through a Spark higher-order fold: the state is the list of token
 ids and the ranks of neighbouring pairs; each step merges the leftmost pair of
 least rank. Pair ranks come from a literal map, a sparse matrix whose rows are
 laid over each other so that a look-up takes constant time; a token's rank is its id. Decoding joins the binary pieces
-of the ids. Blocks are bounded in bytes, so no step needs the whole vocabulary
-of the corpus, and nothing is shuffled.
+of the ids.
+
+The most frequent runs of letters of the whole corpus, behind a space, are
+encoded once and broadcast (``LISTED`` words of at most ``LISTED_BYTES`` bytes).
+All other words are encoded once a block; blocks are bounded in bytes, so no
+step needs the whole vocabulary of the corpus. The list only spares work: a word
+has the same ids either way.
 
 Edge cases: null and empty texts give no ids and the digests of nothing. Words
 of over ``LONG`` bytes are merged with a heap, as the fold takes a step for
@@ -27,10 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Chunks, Ragged
-from .common import map_arrow
+from .common import arrow_schema, map_arrow, slices
 
 LONG = 512
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 4 << 20
+LISTED, LISTED_BYTES = 300_000, 64
 NO_PAIR = 65536
 
 
@@ -174,14 +180,50 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def blocks(df: DataFrame, pattern: str, path: str) -> DataFrame:
-    """Rows of documents with their distinct words: ``keys, sizes, index, words, longs``."""
-    src = df
+def frequent_words(texts: Column, df: DataFrame, listed: int) -> list[str]:
+    """The ``listed`` most frequent runs of letters, ties in order, each behind a space."""
+    runs = df.select(F.explode(F.split(texts, "[^\\p{L}]+")).alias("w")).where((F.length("w") > 0) & (F.octet_length("w") < LISTED_BYTES))
+    top = runs.groupBy("w").count().orderBy(F.desc("count"), "w").limit(listed)
+    return [" " + w for w in top.select("w").toArrow().column(0).to_pylist()]  # listed rows at most
 
-    def run(batch):
+
+def byte_lists(words: list[bytes]) -> pa.ListArray:
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    flat = np.frombuffer(b"".join(words), np.uint8).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat))
+
+
+def encode_list(spark, words: list[str], path: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Ids of all listed words in one array, the number of each, and their decoded bytes."""
+    step = 1000
+    parts = [byte_lists([w.encode() for w in words[i : i + step]]) for i in range(0, len(words), step)]
+    if not parts:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64), []
+    cuts = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    table = pa.table({"part": np.arange(len(parts)), "words": pa.ListArray.from_arrays(pa.array(cuts), pa.concat_arrays(parts))})
+    ids = spark.createDataFrame(table).repartition(max(1, min(len(parts), 64)), "part").select("part", encode_words(F.col("words"), path).alias("ids"))
+    got = ids.select("part", "ids", F.transform("ids", lambda i: decode_ids(i, path)).alias("pieces")).toArrow().sort_by("part").combine_chunks()
+    lists = got.column(1).chunk(0).flatten()
+    return np.asarray(lists.flatten()).astype(np.uint32), np.asarray(lists.value_lengths()).astype(np.int64), got.column(2).chunk(0).flatten().to_pylist()
+
+
+def blocks(df: DataFrame, pattern: str, path: str, listed: list[str]) -> DataFrame:
+    """Rows of documents with their distinct words: ``keys, sizes, index, words, longs``.
+
+    ``index`` numbers the listed words first, then those of the block.
+    """
+    column, base = df.columns[1], len(listed)
+
+    def run(batches):
         import regex
 
         find = regex.compile(pattern).findall
+        known = {w: k for k, w in enumerate(listed)}
+        for whole in batches:
+            for batch in slices(whole, column, BLOCK_CHARS):
+                yield block(batch, find, known)
+
+    def block(batch, find, known):
         chunks, parts, numbers, words, of_chunk = Chunks(), [], {}, [], Ragged()
         for t in batch.column(1).to_pylist():
             parts.append(chunks.split(t) if t else np.zeros(0, np.int64))
@@ -190,10 +232,12 @@ def blocks(df: DataFrame, pattern: str, path: str) -> DataFrame:
                 for c in chunks.drain():
                     row = []
                     for w in find(c):
-                        k = numbers.get(w)
+                        k = known.get(w)
                         if k is None:
-                            k = numbers[w] = len(words)
-                            words.append(w.encode())
+                            k = numbers.get(w)
+                            if k is None:
+                                k = numbers[w] = base + len(words)
+                                words.append(w.encode())
                         row.append(k)
                     found.append(row)
                 of_chunk.extend(found)
@@ -204,27 +248,28 @@ def blocks(df: DataFrame, pattern: str, path: str) -> DataFrame:
                 ranks = ranks or read_ranks(path)
                 longs.append({"word": k, "ids": merge_long(w, ranks)})
                 words[k] = b""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        flat = np.frombuffer(b"".join(words), np.uint8).astype(np.int32)
-        inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat))
-        return {
+        cols = {
             "keys": pa.ListArray.from_arrays(pa.array([0, len(batch)], pa.int32()), batch.column(0)),
             "sizes": [[len(i) for i in index]],
             "index": [b"".join(i.tobytes() for i in index)],
-            "words": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), inner),
+            "words": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), byte_lists(words)),
             "longs": [longs],
         }
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for f, c in zip(arrow, cols.values(), strict=True)], schema=arrow)
 
-    schema = f"keys array<{src.dtypes[0][1]}>, sizes array<int>, index binary, words array<array<int>>, longs array<struct<word:int,ids:array<int>>>"
-    return map_arrow(src, run, schema, src.columns[1], BLOCK_CHARS)
+    kind = f"keys array<{df.dtypes[0][1]}>, sizes array<int>, index binary, words array<array<int>>, longs array<struct<word:int,ids:array<int>>>"
+    target, arrow = arrow_schema(df.sparkSession, kind)
+    return df.mapInArrow(run, target)
 
 
-def op2_bpe(df: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def op2_bpe(df: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text", id_col: str = "doc_id", listed: int = LISTED) -> DataFrame:
     """``id_col, n_tokens, ids_sha256, decoded_sha256`` for every text."""
     import public_tokenizers
 
     path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
-    found = blocks(df.select(id_col, text), pattern, path)
+    top = frequent_words(F.col(text), df, listed)
+    flat, lengths, top_pieces = encode_list(df.sparkSession, top, path)
+    found = blocks(df.select(id_col, text), pattern, path, top)
     found = found.select("keys", "sizes", "index", encode_words(F.col("words"), path).alias("ids"), "longs")
     found = found.select("*", F.transform("ids", lambda i: decode_ids(i, path)).alias("pieces"), F.transform("longs", lambda x: decode_ids(x["ids"], path)).alias("long_pieces"))
 
@@ -233,14 +278,15 @@ def op2_bpe(df: DataFrame, path: str | None = None, pattern: str | None = None,
         for r in range(len(batch)):
             index = np.frombuffer(batch.column(2)[r].as_py(), np.int32)
             ids = batch.column(3)[r].values
-            flat, lengths = ids.flatten(), ids.value_lengths()
             of_word = Ragged(np.uint32)
-            of_word.extend_flat(np.asarray(flat).astype(np.uint32), np.asarray(lengths).astype(np.int64))
-            pieces = batch.column(5)[r].values.to_pylist()
+            of_word.extend_flat(flat, lengths)
+            of_word.extend_flat(np.asarray(ids.flatten()).astype(np.uint32), np.asarray(ids.value_lengths()).astype(np.int64))
+            pieces = top_pieces + batch.column(5)[r].values.to_pylist()
             for x, p in zip(batch.column(4)[r].as_py(), batch.column(6)[r].values.to_pylist() if batch.column(6)[r].values else [], strict=True):
                 of_word.extend([x["ids"]])
-                of_word.starts[x["word"]], of_word.lengths[x["word"]] = of_word.starts[of_word.n - 1], of_word.lengths[of_word.n - 1]
-                pieces[x["word"]] = p
+                k = len(lengths) + x["word"]
+                of_word.starts[k], of_word.lengths[k] = of_word.starts[of_word.n - 1], of_word.lengths[of_word.n - 1]
+                pieces[k] = p
             at = 0
             for size in batch.column(1)[r].as_py():
                 words = index[at : at + size]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 #: Characters of the longest batch that one Arrow step holds, about.
 BATCH_CHARS = 8 << 20
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees: ``spark.checkpoint.dir``.
 
-    Where the session names none (local tests), a temporary folder is set.
+    Where a local session names none (tests), a temporary folder is set; a
+    cluster that names none is an error, as its executors share no such folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="keystrata-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -36,7 +41,22 @@ def persist(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of ``df``: write it to the shared folder and read it back."""
     path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of :func:`persist` that nothing will read again."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bound Arrow batches in bytes, where the session does not: rows hold whole texts."""
+    if spark.conf.get(ARROW_BYTES, None) is None:
+        spark.conf.set(ARROW_BYTES, str(BATCH_CHARS))
 
 
 def text_class(col) -> "F.Column":
@@ -59,27 +79,38 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = BATCH_CHARS) -> Iterat
         start = end
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema: str, text: str | None = None, limit: int = BATCH_CHARS) -> DataFrame:
+def arrow_schema(spark: SparkSession, schema) -> tuple:
+    """A schema for Spark and for Arrow; batches that go to Python are bounded from now on."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    bounded(spark)
+    target = spark.createDataFrame([], schema).schema
+    return target, to_arrow_schema(target)
+
+
+def map_arrow(df: DataFrame, fn: Callable, schema, text: str | None = None, limit: int = BATCH_CHARS, done: Callable | None = None) -> DataFrame:
     """``mapInArrow`` with ``fn(batch) -> dict | RecordBatch | None``, by bounded batches.
 
     A dict holds the columns of ``schema`` by name. ``text`` names the column
-    whose bytes bound a batch.
+    whose bytes bound a batch. ``done`` is called at the end of each task, to
+    free what ``fn`` keeps between batches.
     """
-    target = df.sparkSession.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(target)
+    target, arrow = arrow_schema(df.sparkSession, schema)
 
     def run(batches):
-        for whole in batches:
-            for batch in slices(whole, text, limit) if text else [whole]:
-                out = fn(batch)
-                if out is None:
-                    continue
-                if isinstance(out, dict):
-                    cols = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for f, c in ((f, out[f.name]) for f in arrow)]
-                    out = pa.RecordBatch.from_arrays(cols, schema=arrow)
-                yield out
+        try:
+            for whole in batches:
+                for batch in slices(whole, text, limit) if text else [whole]:
+                    out = fn(batch)
+                    if out is None:
+                        continue
+                    if isinstance(out, dict):
+                        cols = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for f, c in ((f, out[f.name]) for f in arrow)]
+                        out = pa.RecordBatch.from_arrays(cols, schema=arrow)
+                    yield out
+        finally:
+            if done:
+                done()
 
     return df.mapInArrow(run, target)
 

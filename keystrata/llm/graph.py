@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import persist
+from .common import discard, persist
 
 
 def _stars(links: DataFrame) -> bool:
@@ -31,7 +31,8 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = links.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = persist(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        before, links = links, persist(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(before)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return links.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

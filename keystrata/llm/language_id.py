@@ -9,6 +9,9 @@ cosine with the text wins, ties going to the smaller name.
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; so
 is every text where nothing could be learned. Null languages are not learned.
 Scores are cosines cut at 0. Sums are of integers, hence the same in any order.
+Texts of any length are read whole. Repeated rows are learned as often as they
+occur and predicted alike; an empty table gives no rows; columns besides the
+three named have no influence, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +28,7 @@ from .common import map_arrow
 DIMENSIONS = 512
 LETTERS = 48
 MAX_LANGUAGES = 2000
+FLOOR, LEAST = 0.09, 64
 _SCALE = 1 << 20
 
 
@@ -45,6 +50,10 @@ def _vectors() -> tuple[np.ndarray, np.ndarray]:
     return (first[:, None, :] * second[None, :, :]).reshape(LETTERS * LETTERS, DIMENSIONS), base
 
 
+def letters(text: str | None) -> int:
+    return int(np.count_nonzero(_symbols()[np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)]))
+
+
 def profile(text: str | None) -> np.ndarray | None:
     """The text's bundle with length 1; None without any letter."""
     s = _symbols()[np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -112,6 +121,28 @@ def predict(df: DataFrame, text: str, names: list[str], protos: np.ndarray) -> D
     return map_arrow(df, run, schema, text)
 
 
+def keep_languages(df: DataFrame, text: str = "text", lang: str = "lang", floor: float = FLOOR, least: int = LEAST) -> DataFrame:
+    """The rows of ``df`` in which a language is found, with its columns.
+
+    Profiles are learned from all rows with a language. A text without a letter
+    goes, and so does one of at least ``least`` letters whose best cosine is below
+    ``floor``, which is twice what unrelated profiles have by chance. Shorter texts
+    say too little for that and stay. Where nothing could be learned, every text
+    with a letter stays.
+    """
+    names, protos = fit(df, text, lang)
+    at = df.columns.index(text)
+
+    def run(batch):
+        keep = []
+        for t in batch.column(at).to_pylist():
+            p = profile(t)
+            keep.append(p is not None and (not names or letters(t) < least or float((protos @ p).max()) >= floor))
+        return batch.filter(pa.array(keep, pa.bool_()))
+
+    return map_arrow(df, run, df.schema, text)
+
+
 def op9_language(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> DataFrame:
     """``id_col, held_out, lang_pred, score`` for every document."""
     names, protos = fit(df.where(~held_out(id_col, folds, fold)), text, lang)

@@ -23,7 +23,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, kept for a bounded number of words."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 200_000):
         self.seen: dict[bytes, int] = {}
         self.most = most
 
