@@ -2,11 +2,15 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor
 kept. All but the last return the columns of documents.
+
+Null and empty texts hold no language and go in the first stage. Rows that repeat
+an id are judged alike where their texts are equal; rows without an id are never
+copies of others and stay until they are packed. Empty tables pass through all
+stages. Further columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,16 +19,12 @@ from keystrata.llm.common import persist, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; ``und`` goes.
+    """Documents in which a language is found.
 
-    The profiles are learned from all documents with a language. Where there are
-    none, nothing can be told apart and every document with a letter stays.
+    A text without a letter goes, and so does a long one that is like no language
+    learned. Where no document has a language, every one with a letter stays.
     """
-    names, protos = language_id.fit(docs, "text", "lang")
-    if not names:
-        names, protos = ["unknown"], np.zeros((1, language_id.DIMENSIONS))
-    found = language_id.predict(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("t")), "t", names, protos)
-    return found.where("lang_pred <> 'und'").select("row.*")
+    return language_id.keep_languages(docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
