@@ -9,9 +9,10 @@ of the ids.
 
 The most frequent runs of letters of the whole corpus, behind a space, are
 encoded once and broadcast (``LISTED`` words of at most ``LISTED_BYTES`` bytes).
-All other words are encoded once a block; blocks are bounded in bytes, so no
-step needs the whole vocabulary of the corpus. The list only spares work: a word
-has the same ids either way.
+All other words are encoded once for each task, or each ``HELD`` words that a
+task meets; a task's rows are blocks of bounded bytes that hold only words that
+are new, so no step needs the whole vocabulary of the corpus. The list only
+spares work: a word has the same ids either way.
 
 Edge cases: null and empty texts give no ids and the digests of nothing. Words
 of over ``LONG`` bytes are merged with a heap, as the fold takes a step for
@@ -32,11 +33,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Chunks, Ragged
-from .common import arrow_schema, map_arrow, slices
+from .common import arrow_schema, discard, persist, slices
 
 LONG = 512
 BLOCK_CHARS = 4 << 20
-LISTED, LISTED_BYTES = 300_000, 64
+LISTED, LISTED_BYTES, HELD = 400_000, 64, 400_000
 NO_PAIR = 65536
 
 
@@ -180,11 +181,29 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def frequent_words(texts: Column, df: DataFrame, listed: int) -> list[str]:
-    """The ``listed`` most frequent runs of letters, ties in order, each behind a space."""
-    runs = df.select(F.explode(F.split(texts, "[^\\p{L}]+")).alias("w")).where((F.length("w") > 0) & (F.octet_length("w") < LISTED_BYTES))
-    top = runs.groupBy("w").count().orderBy(F.desc("count"), "w").limit(listed)
-    return [" " + w for w in top.select("w").toArrow().column(0).to_pylist()]  # listed rows at most
+def frequent_words(df: DataFrame, text: str, path: str, listed: int) -> tuple[list[str], np.ndarray, np.ndarray, list[bytes]]:
+    """The most frequent runs of letters, each behind a space: words, ids in one array, the number of each, decoded bytes.
+
+    All runs are counted; those whose count is at least a power of 2 ** (1 / 8)
+    are listed, the least such power for which they are ``listed`` at most.
+    """
+    runs = df.select(F.explode(F.split(F.col(text), "[^\\p{L}]+")).alias("w")).where((F.length("w") > 0) & (F.octet_length("w") < LISTED_BYTES))
+    counts = persist(runs.groupBy("w").agg(F.floor(8 * F.log2(F.count("*"))).cast("int").alias("step")), "words")
+    least, room = 1 << 30, listed
+    for r in counts.groupBy("step").count().orderBy(F.desc("step")).collect():  # 512 rows at most
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["step"]
+    word = F.concat(F.lit(" "), "w")
+    byte = F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.conv(F.hex(F.substring(F.encode(word, "UTF-8"), i, F.lit(1))), 16, 10).cast("int"))
+    found = counts.where(F.col("step") >= least).select(word.alias("word"), F.get(encode_words(F.array(byte), path), 0).alias("ids"))
+    got = found.select("word", "ids", decode_ids(F.col("ids"), path).alias("piece")).toArrow().sort_by("word").combine_chunks()  # listed rows at most
+    discard(counts)
+    if not len(got):
+        return [], np.zeros(0, np.uint32), np.zeros(0, np.int64), []
+    ids = got.column(1).chunk(0)
+    return got.column(0).to_pylist(), np.asarray(ids.flatten()).astype(np.uint32), np.asarray(ids.value_lengths()).astype(np.int64), got.column(2).to_pylist()
 
 
 def byte_lists(words: list[bytes]) -> pa.ListArray:
@@ -193,24 +212,12 @@ def byte_lists(words: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat))
 
 
-def encode_list(spark, words: list[str], path: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Ids of all listed words in one array, the number of each, and their decoded bytes."""
-    step = 1000
-    parts = [byte_lists([w.encode() for w in words[i : i + step]]) for i in range(0, len(words), step)]
-    if not parts:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64), []
-    cuts = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-    table = pa.table({"part": np.arange(len(parts)), "words": pa.ListArray.from_arrays(pa.array(cuts), pa.concat_arrays(parts))})
-    ids = spark.createDataFrame(table).repartition(max(1, min(len(parts), 64)), "part").select("part", encode_words(F.col("words"), path).alias("ids"))
-    got = ids.select("part", "ids", F.transform("ids", lambda i: decode_ids(i, path)).alias("pieces")).toArrow().sort_by("part").combine_chunks()
-    lists = got.column(1).chunk(0).flatten()
-    return np.asarray(lists.flatten()).astype(np.uint32), np.asarray(lists.value_lengths()).astype(np.int64), got.column(2).chunk(0).flatten().to_pylist()
-
-
 def blocks(df: DataFrame, pattern: str, path: str, listed: list[str]) -> DataFrame:
-    """Rows of documents with their distinct words: ``keys, sizes, index, words, longs``.
+    """Rows of documents with their new words: ``keys, sizes, index, before, words, longs``.
 
-    ``index`` numbers the listed words first, then those of the block.
+    ``index`` numbers the listed words first, then those that the task has met.
+    ``before`` is how many of the latter earlier rows of the task hold; it is 0
+    where numbering starts anew, which bounds the memory.
     """
     column, base = df.columns[1], len(listed)
 
@@ -219,12 +226,15 @@ def blocks(df: DataFrame, pattern: str, path: str, listed: list[str]) -> DataFra
 
         find = regex.compile(pattern).findall
         known = {w: k for k, w in enumerate(listed)}
+        state = None
         for whole in batches:
             for batch in slices(whole, column, BLOCK_CHARS):
-                yield block(batch, find, known)
+                if state is None or len(state[0]) > HELD:
+                    state = Chunks(), {}, Ragged()
+                yield block(batch, find, known, *state)
 
-    def block(batch, find, known):
-        chunks, parts, numbers, words, of_chunk = Chunks(), [], {}, [], Ragged()
+    def block(batch, find, known, chunks, numbers, of_chunk):
+        parts, words, before = [], [], len(numbers)
         for t in batch.column(1).to_pylist():
             parts.append(chunks.split(t) if t else np.zeros(0, np.int64))
             if chunks.texts:
@@ -236,7 +246,7 @@ def blocks(df: DataFrame, pattern: str, path: str, listed: list[str]) -> DataFra
                         if k is None:
                             k = numbers.get(w)
                             if k is None:
-                                k = numbers[w] = base + len(words)
+                                k = numbers[w] = base + len(numbers)
                                 words.append(w.encode())
                         row.append(k)
                     found.append(row)
@@ -252,12 +262,13 @@ def blocks(df: DataFrame, pattern: str, path: str, listed: list[str]) -> DataFra
             "keys": pa.ListArray.from_arrays(pa.array([0, len(batch)], pa.int32()), batch.column(0)),
             "sizes": [[len(i) for i in index]],
             "index": [b"".join(i.tobytes() for i in index)],
+            "before": [before],
             "words": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), byte_lists(words)),
             "longs": [longs],
         }
         return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for f, c in zip(arrow, cols.values(), strict=True)], schema=arrow)
 
-    kind = f"keys array<{df.dtypes[0][1]}>, sizes array<int>, index binary, words array<array<int>>, longs array<struct<word:int,ids:array<int>>>"
+    kind = f"keys array<{df.dtypes[0][1]}>, sizes array<int>, index binary, before long, words array<array<int>>, longs array<struct<word:int,ids:array<int>>>"
     target, arrow = arrow_schema(df.sparkSession, kind)
     return df.mapInArrow(run, target)
 
@@ -267,35 +278,38 @@ def op2_bpe(df: DataFrame, path: str | None = None, pattern: str | None = None,
     import public_tokenizers
 
     path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
-    top = frequent_words(F.col(text), df, listed)
-    flat, lengths, top_pieces = encode_list(df.sparkSession, top, path)
+    top, flat, lengths, top_pieces = frequent_words(df, text, path, listed)
     found = blocks(df.select(id_col, text), pattern, path, top)
-    found = found.select("keys", "sizes", "index", encode_words(F.col("words"), path).alias("ids"), "longs")
+    found = found.select("keys", "sizes", "index", "before", encode_words(F.col("words"), path).alias("ids"), "longs")
     found = found.select("*", F.transform("ids", lambda i: decode_ids(i, path)).alias("pieces"), F.transform("longs", lambda x: decode_ids(x["ids"], path)).alias("long_pieces"))
+    kind = f"{id_col} {dict(df.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    target, arrow = arrow_schema(df.sparkSession, kind)
 
-    def run(batch):
-        keys, n, ids_sha, sha = [], [], [], []
-        for r in range(len(batch)):
-            index = np.frombuffer(batch.column(2)[r].as_py(), np.int32)
-            ids = batch.column(3)[r].values
-            of_word = Ragged(np.uint32)
-            of_word.extend_flat(flat, lengths)
-            of_word.extend_flat(np.asarray(ids.flatten()).astype(np.uint32), np.asarray(ids.value_lengths()).astype(np.int64))
-            pieces = top_pieces + batch.column(5)[r].values.to_pylist()
-            for x, p in zip(batch.column(4)[r].as_py(), batch.column(6)[r].values.to_pylist() if batch.column(6)[r].values else [], strict=True):
-                of_word.extend([x["ids"]])
-                k = len(lengths) + x["word"]
-                of_word.starts[k], of_word.lengths[k] = of_word.starts[of_word.n - 1], of_word.lengths[of_word.n - 1]
-                pieces[k] = p
-            at = 0
-            for size in batch.column(1)[r].as_py():
-                words = index[at : at + size]
-                at += size
-                tokens = of_word.gather(words)
-                n.append(len(tokens))
-                ids_sha.append(hashlib.sha256(tokens.astype("<u4").tobytes()).hexdigest())
-                sha.append(hashlib.sha256(b"".join(map(pieces.__getitem__, words.tolist()))).hexdigest())
-            keys.append(batch.column(0)[r].values)
-        return {id_col: pa.concat_arrays(keys) if keys else pa.array([], batch.column(0).type.value_type), "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": sha}
-
-    return map_arrow(found, run, f"{id_col} {dict(df.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def run(batches):
+        of_word, pieces = None, []
+        for batch in batches:
+            for r in range(len(batch)):
+                keys, sizes, index, before, ids, longs, new, long_pieces = (batch.column(c)[r] for c in range(8))
+                if before.as_py() == 0:
+                    of_word, pieces = Ragged(np.uint32), list(top_pieces)
+                    of_word.extend_flat(flat, lengths)
+                first = len(pieces)
+                if first != len(lengths) + before.as_py():
+                    raise RuntimeError("a row refers to words that this task has not met")
+                of_word.extend_flat(np.asarray(ids.values.flatten()).astype(np.uint32), np.asarray(ids.values.value_lengths()).astype(np.int64))
+                pieces += new.values.to_pylist()
+                for x, p in zip(longs.as_py(), long_pieces.as_py(), strict=True):
+                    of_word.put(first + x["word"], x["ids"])
+                    pieces[first + x["word"]] = p
+                index, at = np.frombuffer(index.as_py(), np.int32), 0
+                n, ids_sha, sha = [], [], []
+                for size in sizes.as_py():
+                    words = index[at : at + size]
+                    at += size
+                    tokens = of_word.gather(words)
+                    n.append(len(tokens))
+                    ids_sha.append(hashlib.sha256(tokens.astype("<u4", copy=False)).hexdigest())
+                    sha.append(hashlib.sha256(b"".join(map(pieces.__getitem__, words.tolist()))).hexdigest())
+                yield pa.RecordBatch.from_arrays([keys.values, pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(sha)], schema=arrow)
+
+    return found.mapInArrow(run, target)

@@ -91,6 +91,15 @@ class Ragged:
         self.used += len(flat)
         self.n += len(lengths)
 
+    def put(self, at: int, values: list) -> None:
+        """Replace array number ``at``."""
+        values = np.array(values, self.flat.dtype)
+        while self.used + len(values) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(values)] = values
+        self.starts[at], self.lengths[at] = self.used, len(values)
+        self.used += len(values)
+
     def gather(self, index: np.ndarray) -> np.ndarray:
         lengths = self.lengths[index]
         total = int(lengths.sum())

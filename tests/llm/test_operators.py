@@ -373,8 +373,10 @@ def test_pipeline(spark, docs, rows):
         out = spark.createDataFrame(out.collect(), "doc_id long, text string, lang string")
         kept.append({r.doc_id: r.text for r in out.collect()})
     letters = {k for k, t, _ in rows if t and any(c.isalpha() for c in t)}
-    assert set(kept[0]) == letters and set(kept[1]) == letters
-    assert 12 not in kept[2] and 13 not in kept[2] or not kept[1][12]  # copies of document 0
+    # two long texts of one word are like no language learned
+    assert set(kept[0]) == letters - {26, 29} and set(kept[1]) == set(kept[0])
+    assert kept[1][12] == kept[1][13] == "" and kept[1][0]  # copies of document 0 lose their line
+    assert kept[1].keys() - kept[2].keys() == {14, 15, 25}  # near copies of 1 and 2, the words of 24
     packed = corpus_pipeline.STAGES[-1][1](spark, out, "").collect()
     assert {r.doc_id for r in packed} == set(kept[3])
 
