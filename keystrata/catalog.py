@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from .config import Config
 from .functions import bloom, codecs
-from .operators import membership, view
+from .operators import membership, ordering, view
 from .plans import compaction
 from .schema import as_log, encode_fixed
 from .sources.manifest import replay_edits
@@ -195,36 +195,12 @@ def _(spark, d):
 
 @query(
     "kv_split_runs",
-    f"""WITH {_LIVE}, sized AS (SELECT key, strlen(key) + strlen(value) + 8 AS size FROM live), running AS (SELECT key, size, coalesce(sum(size) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sized)
-    SELECT CAST(before // 1024 AS BIGINT) AS part, count(*) AS n_rows, min(key) AS min_key, max(key) AS max_key FROM running GROUP BY 1""",
+    f"""WITH {_LIVE}, sized AS (SELECT key, value, strlen(key) + strlen(value) + 8 AS size FROM live)
+    SELECT key, value, CAST(coalesce(sum(size) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 1024 AS BIGINT) AS part FROM sized""",
 )
 def _(spark, d):
     rows = compaction.split_runs(view.live(event_log(spark, d)).select("key", "value"), 1024)
-    return rows.groupBy(F.col("part").cast("bigint").alias("part")).agg(F.count("*").alias("n_rows"), F.min("key").alias("min_key"), F.max("key").alias("max_key"))
-
-
-@query(
-    "kv_level_stats",
-    f"""WITH {_ZONES}, levels AS (SELECT {_LEVEL} AS level, count(*) AS runs, CAST(sum(bytes) AS BIGINT) AS bytes FROM zones GROUP BY 1)
-    SELECT level, runs, bytes, CAST(4096 * pow(10, level) AS BIGINT) AS max_bytes, CASE WHEN level = 0 THEN runs >= 4 ELSE bytes > 4096 * pow(10, level) END AS needs_compaction FROM levels""",
-)
-def _(spark, d):
-    limit = F.lit(4096) * F.pow(F.lit(10), F.col("level"))
-    rows = levelled(zones(spark, d)).groupBy("level").agg(F.count("*").alias("runs"), F.sum("bytes").cast("bigint").alias("bytes"))
-    return rows.select("level", "runs", "bytes", limit.cast("bigint").alias("max_bytes"), F.when(F.col("level") == 0, F.col("runs") >= 4).otherwise(F.col("bytes") > limit).alias("needs_compaction"))
-
-
-@query(
-    "kv_pick_l0",
-    f"""WITH {_ZONES}, leveled AS (SELECT *, {_LEVEL} AS level FROM zones), chosen AS (SELECT * FROM leveled WHERE level = 0 ORDER BY run_id LIMIT 4),
-    span AS (SELECT min(min_key) AS low, max(max_key) AS high FROM chosen) SELECT run_id, level FROM chosen UNION ALL SELECT run_id, level FROM leveled, span WHERE level = 1 AND min_key <= high AND max_key >= low""",
-)
-def _(spark, d):
-    rows = levelled(zones(spark, d))
-    chosen = rows.where("level = 0").orderBy("run_id").limit(4)
-    span = chosen.agg(F.min("min_key").alias("low"), F.max("max_key").alias("high"))
-    below = rows.where("level = 1").join(F.broadcast(span), (F.col("min_key") <= F.col("high")) & (F.col("max_key") >= F.col("low")))  # one row
-    return chosen.select("run_id", "level").unionByName(below.select("run_id", "level"))
+    return rows.select("key", "value", F.col("part").cast("bigint").alias("part"))
 
 
 _EDITS = f"""{_ZONES}, edits AS (SELECT run_id AS version, 'add' AS action, run_id, min_key FROM zones UNION ALL SELECT run_id + 5, 'remove', run_id, NULL FROM zones WHERE run_id % 3 = 0)"""
@@ -275,12 +251,6 @@ def _(spark, d):
     return labels.join(found, "doc_id", "left").agg(F.count("*").alias("members"), F.count(F.when(F.col("found").isNull(), 1)).alias("missed"))
 
 
-@query("kv_bloom_sketch")
-def _(spark, d):
-    labels = table(spark, d, "labels").select("doc_id")
-    return membership.sketch_for(spark, labels, 100_000, 0.01, "doc_id").might_contain(table(spark, d, "documents").select("doc_id"), "doc_id")
-
-
 @query("kv_level_targets", "SELECT CAST(level AS INTEGER) AS level, CAST(4 * 1048576 * pow(10, level) AS BIGINT) AS max_bytes, CAST(1048576 * pow(10, greatest(0, level - 1)) AS BIGINT) AS file_bytes FROM range(7) t(level)")
 def _(spark, d):
     c = Config()
@@ -294,17 +264,15 @@ def _(spark, d):
 )
 def _(spark, d):
     keys = table(spark, d, "pages").select(F.col("url").alias("key")).where("key IS NOT NULL").distinct()
-    spread = keys.repartitionByRange("key").sortWithinPartitions("key").withColumn("_p", F.spark_partition_id())
-    own = Window.partitionBy("_p").orderBy("key")
-    rows = spread.select("*", F.lag("key").over(own).alias("_prev"), F.row_number().over(own).alias("_row"))
-    ends = spread.groupBy("_p").agg(F.max("key").alias("_last"), F.count("*").alias("_n"))
-    before = Window.orderBy("_p")
-    ends = ends.select("_p", F.lag("_last").over(before).alias("_last"), F.coalesce(F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row a partition
-    rows = rows.join(F.broadcast(ends), "_p").select("key", F.coalesce("_prev", "_last").alias("prev"), (F.col("_before") + F.col("_row") - 1).alias("pos"))
+    rows = ordering.numbered(keys)
     return rows.select("key", F.when(F.col("pos") % 16 == 0, 0).otherwise(codecs.shared_prefix(F.col("key"), F.col("prev"))).cast("bigint").alias("shared"))
 
 
-@query("kv_varint", "SELECT o_orderkey, CASE WHEN o_orderkey < 128 THEN printf('%02X', o_orderkey) WHEN o_orderkey < 16384 THEN printf('%02X%02X', (o_orderkey & 127) | 128, o_orderkey >> 7) ELSE printf('%02X%02X%02X', (o_orderkey & 127) | 128, ((o_orderkey >> 7) & 127) | 128, o_orderkey >> 14) END AS varint FROM orders WHERE o_orderkey < 2097152")
+@query(
+    "kv_varint",
+    """SELECT o_orderkey, list_aggregate(list_transform(range(0, CASE WHEN o_orderkey = 0 THEN 1 ELSE CAST(floor(log2(o_orderkey)) AS BIGINT) // 7 + 1 END),
+    lambda i: printf('%02X', ((o_orderkey >> CAST(7 * i AS INTEGER)) & 127) | CASE WHEN (o_orderkey >> CAST(7 * (i + 1) AS INTEGER)) > 0 THEN 128 ELSE 0 END)), 'string_agg', '') AS varint FROM orders""",
+)
 def _(spark, d):
     return table(spark, d, "orders").select("o_orderkey", codecs.varint_hex(F.col("o_orderkey")).alias("varint"))
 
@@ -348,14 +316,10 @@ def _(spark, d):
 
 @query("kv_stream_items", ORACLE_SQL["kv_compact_bottom"])
 def _(spark, d):
-    import uuid
-
-    from .streaming.ingest import newest
+    from .catalog_keyspace import scratch
+    from .streaming.ingest import newest, run_to_table
 
     schema = table(spark, d, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     log = as_log(events, encode_fixed(F.col("user_id")), F.col("event_type"), F.col("event_id"), F.col("event_type") == "error")
-    name = f"items_{uuid.uuid4().hex}"
-    q = newest(log).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    return run_to_table(newest(log), scratch(spark, "items"), scratch(spark, "checkpoint"))

@@ -26,6 +26,7 @@ class Config:
     expected_keys: int = 1_000_000
     row_group_bytes: int = 128 * MB
     codec: str = "zstd"
+    skip_damaged_log: bool = False
 
     def __post_init__(self):
         object.__setattr__(self, "path", self.path.rstrip("/") or "/")

@@ -28,6 +28,7 @@ def hash_count_col(bits: Column) -> Column:
 
 
 def positions(key: Column, bits: int, hashes: int) -> Column:
-    """The bits of a key: two hashes, stepped."""
-    a, b = F.xxhash64(key), F.xxhash64(key, F.lit(1))
-    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(F.pmod(a, F.lit(bits)) + i * F.pmod(b, F.lit(bits)), F.lit(bits)))
+    """The bits of a key: two 32-bit parts of its MD5 digest, stepped."""
+    digest = F.md5(key)
+    a, b = (F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint") for at in (1, 9))
+    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(a + i * b, F.lit(bits)))

@@ -56,3 +56,34 @@ def shared_prefix(a: Column, b: Column) -> Column:
     same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x.eqNullSafe(y))  # the shorter one is filled up with nulls
     differs = F.array_position(same, False)
     return F.coalesce(F.when(differs > 0, differs - 1).otherwise(F.length(a)), F.lit(0)).cast("int")
+
+
+def _sized(n: Column, width: int) -> Column:
+    return F.lpad(F.hex(n.cast("bigint")), 2 * width, "0")
+
+
+def entry_hex(kind: Column, seq: Column, key: Column, value: Column) -> Column:
+    """One framed entry in upper-case hex: kind (1 byte), sequence (8), size of the key (4), key, size of the value (4), value.
+
+    Numbers are big-endian; a null value is framed like an empty one.
+    """
+    value = F.coalesce(value, F.lit(bytearray()))
+    return F.concat(_sized(kind, 1), _sized(seq, 8), _sized(F.octet_length(key), 4), F.hex(key), _sized(F.octet_length(value), 4), F.hex(value))
+
+
+def entry_parse(hexed: Column) -> Column:
+    """``kind, seq, key, value`` of a framed entry; an empty value is null, and so is the whole of a frame that is cut short."""
+    number = lambda at, width: F.conv(F.substr(hexed, at, F.lit(2 * width)), 16, 10).cast("bigint")
+    key_size = number(F.lit(19), 4)
+    after = F.lit(27) + 2 * key_size
+    value_size = number(after, 4)
+    whole = F.length(hexed) == after + 7 + 2 * value_size
+    key = F.unhex(F.substr(hexed, F.lit(27), 2 * key_size))
+    value = F.when(value_size > 0, F.unhex(F.substr(hexed, after + 8, 2 * value_size)))
+    return F.when(whole, F.struct(number(F.lit(1), 1).alias("kind"), number(F.lit(3), 8).alias("seq"), key.alias("key"), value.alias("value")))
+
+
+def decode_text(data: Column, errors: str = "strict") -> Column:
+    """The text of UTF-8 bytes. Broken bytes raise, become U+FFFD (``replace``) or give null (``null``)."""
+    text = data.cast("string")
+    return {"strict": F.validate_utf8, "replace": F.make_valid_utf8, "null": F.try_validate_utf8}[errors](text)

@@ -1,4 +1,5 @@
-"""Views of a change log. Each is ``DataFrame -> DataFrame`` and lazy.
+"""Views of a change log. Each is ``DataFrame -> DataFrame`` and lazy, but for the bounds that
+:mod:`.ordering` takes where neighbours in key order count.
 
 Keys order by unsigned bytes. The newest write of a key, by ``seq``, hides older
 ones on every read path; tombstones hide and are never returned. Predicates on
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schema import DELETE, PUT
+from .ordering import RANGE, with_ranges, within
 
 
 def latest_wins(log: DataFrame, *keys: str) -> DataFrame:
@@ -72,6 +74,20 @@ def prefix_scan(log: DataFrame, prefix: bytes | str, limit: int | None = None) -
     return rows if limit is None else rows.limit(limit)
 
 
+def checksum(key: Column, value: Column, op: Column, seq: Column) -> Column:
+    """CRC-32 of a log row's fields; a null value differs from an empty one."""
+    return F.crc32(F.concat_ws("|", F.hex(key), F.coalesce(F.hex(value), F.lit("-")), op, seq.cast("string")))
+
+
+def with_checksum(log: DataFrame) -> DataFrame:
+    return log.withColumn("crc", checksum(F.col("key"), F.col("value"), F.col("op"), F.col("seq")))
+
+
+def intact(log: DataFrame) -> DataFrame:
+    """Rows whose checksum fits; damaged ones are skipped, and the rest stays readable."""
+    return log.where(F.col("crc") == checksum(F.col("key"), F.col("value"), F.col("op"), F.col("seq"))).drop("crc")
+
+
 def as_of(log: DataFrame, seq: int) -> DataFrame:
     """Live rows as they were after write ``seq``."""
     return live(log.where(F.col("seq") <= seq))
@@ -83,29 +99,20 @@ def replay(log: DataFrame, after: int) -> DataFrame:
 
 
 def seek(log: DataFrame, probes: DataFrame) -> DataFrame:
-    """For each row of ``probes(probe)`` the first live key not below it.
+    """For each row of ``probes(probe)`` the first live key not below it, or null.
 
-    Both sides are laid out in one order and a running minimum from the end
-    answers all probes; partitions are by leading byte ranges of the keys.
+    Keys and probes are laid out in one order; a running value from the end of
+    each range answers its probes, and the first live key of the later ranges,
+    one row a range, answers the rest.
     """
-    keys = live(log).select("key", F.lit(None).cast("string").alias("probe"))
-    wanted = probes.select(F.col("probe").alias("key"), F.col("probe").cast("string"))
-    rows = keys.unionByName(wanted)
-    return _carry(rows).where(F.col("probe").isNotNull()).select("probe", F.col("next").alias("key"))
-
-
-def _carry(rows: DataFrame) -> DataFrame:
-    """``next``: the least live key at or after each row, over range partitions.
-
-    Partitions are sorted ranges; the first live key of each (one row a
-    partition) closes the gaps between them.
-    """
-    spread = rows.repartitionByRange("key").sortWithinPartitions("key").withColumn("_p", F.spark_partition_id())
-    within = Window.partitionBy("_p").orderBy("key").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    found = spread.withColumn("next", F.min(F.when(F.col("probe").isNull(), F.col("key"))).over(within))
-    heads = spread.where("probe IS NULL").groupBy(F.col("_p").alias("_q")).agg(F.min("key").alias("head"))
-    later = found.select("_p").distinct().join(F.broadcast(heads), F.col("_q") > F.col("_p"), "left").groupBy("_p").agg(F.min("head").alias("head"))
-    return found.join(F.broadcast(later), "_p").select("key", "probe", F.coalesce("next", "head").alias("next"))
+    keys = live(log).select("key", F.lit(False).alias("asks"))
+    rows = with_ranges(keys.unionByName(probes.select(F.col("probe").alias("key"), F.lit(True).alias("asks"))))
+    back = within(F.desc("key"), F.asc("asks")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumn("next", F.last(F.when(~F.col("asks"), F.col("key")), ignorenulls=True).over(back)).where("asks")
+    heads = rows.groupBy(RANGE).agg(F.min(F.when(~F.col("asks"), F.col("key"))).alias("head"))
+    later = Window.orderBy(F.desc(RANGE)).rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select(RANGE, F.min("head").over(later).alias("head"))  # one row a range
+    return found.join(F.broadcast(heads), RANGE).select(F.col("key").alias("probe"), F.coalesce("next", "head").alias("key"))
 
 
 def first_last(log: DataFrame) -> DataFrame:
@@ -115,15 +122,11 @@ def first_last(log: DataFrame) -> DataFrame:
 
 
 def neighbours(log: DataFrame) -> DataFrame:
-    """Each live key with the live keys before and after it.
-
-    Windows run within ranges of keys; the edges of the ranges, one row each,
-    are joined on.
-    """
-    spread = live(log).select("key").repartitionByRange("key").sortWithinPartitions("key").withColumn("_p", F.spark_partition_id())
-    own = Window.partitionBy("_p").orderBy("key")
-    rows = spread.select("*", F.lag("key").over(own).alias("_before"), F.lead("key").over(own).alias("_after"))
-    edges = spread.groupBy("_p").agg(F.min("key").alias("_low"), F.max("key").alias("_high"))
-    order = Window.orderBy("_p")
-    edges = edges.select("_p", F.lag("_high").over(order).alias("_high"), F.lead("_low").over(order).alias("_low"))  # one row a partition
-    return rows.join(F.broadcast(edges), "_p").select("key", F.coalesce("_before", "_high").alias("prev_key"), F.coalesce("_after", "_low").alias("next_key"))
+    """Each live key with the live keys before and after it, null at the ends."""
+    rows = with_ranges(live(log).select("key"))
+    own = within("key")
+    edges = rows.groupBy(RANGE).agg(F.min("key").alias("_low"), F.max("key").alias("_high"))
+    order = Window.orderBy(RANGE)
+    edges = edges.select(RANGE, F.lag("_high").over(order).alias("_high"), F.lead("_low").over(order).alias("_low"))  # one row a range
+    rows = rows.select("*", F.lag("key").over(own).alias("_before"), F.lead("key").over(own).alias("_after")).join(F.broadcast(edges), RANGE)
+    return rows.select("key", F.coalesce("_before", "_high").alias("prev_key"), F.coalesce("_after", "_low").alias("next_key"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import Config
+from ..operators.ordering import RANGE, before, with_ranges, within
 from ..operators.view import latest_wins
 from ..schema import PUT
 from ..sources.manifest import Run, Version
@@ -32,7 +33,12 @@ def needed(version: Version, config: Config) -> list[int]:
 
 
 def pick(version: Version, config: Config, level: int | None = None, force: bool = False) -> Job | None:
-    """The next job: all of level 0, or the first run of a level, and what it meets below."""
+    """The next job: the oldest runs of level 0, as many as trigger it, or the first run of a
+    deeper level, and the runs of the level below that they meet.
+
+    Runs of level 0 that stay are newer than those that go, so reads still find
+    the newest write of a key by its sequence number.
+    """
     if level is None:
         due = needed(version, config)
         if due:
@@ -41,8 +47,7 @@ def pick(version: Version, config: Config, level: int | None = None, force: bool
             level = next((n for n in range(config.levels - 1) if version.level(n)), None)
     if level is None or not version.level(level) or level >= config.levels - 1:
         return None
-    chosen = version.level(0) if level == 0 else version.level(level)[:1]
-    chosen = list(chosen)
+    chosen = version.level(0)[: config.level0_trigger] if level == 0 else version.level(level)[:1]
     bounds = [bytes.fromhex(k) for r in chosen for k in (r.min_key, r.max_key) if k is not None]
     low, high = (min(bounds), max(bounds)) if bounds else (None, None)
     below = [r for r in version.level(level + 1) if bounds and r.overlaps(low, high)]
@@ -59,16 +64,16 @@ def merge(log: DataFrame, drop_tombstones: bool) -> DataFrame:
     return rows.where(F.col("op") == PUT) if drop_tombstones else rows
 
 
-def split_runs(rows: DataFrame, target_bytes: int, buckets: int = 64) -> DataFrame:
+def split_runs(rows: DataFrame, target_bytes: int) -> DataFrame:
     """``part``: consecutive key ranges of about ``target_bytes`` each.
 
-    Running sums within ranges of keys plus the sums of the ranges before; the
-    latter are one row a range.
+    A row's part is the number of whole targets in the bytes of all keys before
+    it. Cutting by running sums lets every range find its parts alone; a part may
+    hence exceed the target by less than its last row, instead of ending just
+    before it would. Keys are distinct.
     """
     size = (F.length("key") + F.coalesce(F.length("value"), F.lit(0)) + 8).cast("bigint")
-    spread = rows.withColumn("_size", size).repartitionByRange(buckets, "key").withColumn("_p", F.spark_partition_id())
-    own = Window.partitionBy("_p").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    totals = spread.groupBy("_p").agg(F.sum("_size").alias("_total"))
-    before = totals.select("_p", F.coalesce(F.sum("_total").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    out = spread.withColumn("_run", F.coalesce(F.sum("_size").over(own), F.lit(0))).join(F.broadcast(before), "_p")
-    return out.withColumn("part", F.expr(f"(_before + _run) div {target_bytes}")).drop("_size", "_p", "_run", "_before")
+    rows = with_ranges(rows.withColumn("_size", size))
+    earlier = within("key").rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("_run", F.coalesce(F.sum("_size").over(earlier), F.lit(0))).join(F.broadcast(before(rows, F.col("_size"))), RANGE)
+    return out.withColumn("part", F.expr(f"(_before + _run) div {target_bytes}")).drop("_size", RANGE, "_run", "_before")

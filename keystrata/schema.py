@@ -17,6 +17,9 @@ LOG_SCHEMA = T.StructType(
     ]
 )
 
+#: Rows of a log batch: with a checksum.
+STORED = T.StructType([*LOG_SCHEMA.fields, T.StructField("crc", T.LongType(), False)])
+
 
 def encode_text(col: Column) -> Column:
     """Strings become UTF-8; binary columns pass."""

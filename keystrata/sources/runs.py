@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..operators.ordering import RANGE, with_ranges
 from ..schema import LOG_SCHEMA
 from .manifest import Run
 
@@ -14,14 +15,29 @@ def row_bytes():
     return F.length("key") + F.coalesce(F.length("value"), F.lit(0)) + 8
 
 
-def write_run(df: DataFrame, run_id: int, level: int, config: Config, files: int | None = None) -> Run:
+def write_run(df: DataFrame, run_id: int, level: int, config: Config) -> Run:
     """Write ``key, value, op, seq`` as one run, then read its statistics back."""
     path = f"{config.data_path}/run_id={run_id}"
-    rows = df.select("key", "value", "op", "seq")
-    rows = (rows.repartitionByRange(files, "key") if files else rows.repartitionByRange("key")).sortWithinPartitions("key", F.desc("seq"))
-    rows.write.options(**config.writer_options()).parquet(path)
-    s = df.sparkSession.read.schema(LOG_SCHEMA).parquet(path).agg(F.count("*"), F.coalesce(F.sum(row_bytes()), F.lit(0)), F.hex(F.min("key")), F.hex(F.max("key")), F.coalesce(F.min("seq"), F.lit(0)), F.coalesce(F.max("seq"), F.lit(0))).first()
-    return Run(run_id, level, path, s[0], s[1], s[2], s[3], s[4], s[5])
+    df.select("key", "value", "op", "seq").repartitionByRange("key").sortWithinPartitions("key", F.desc("seq")).write.options(**config.writer_options()).parquet(path)
+    return _described(df.sparkSession, path, run_id, level)[0]
+
+
+def write_runs(df: DataFrame, first_id: int, level: int, config: Config, parts: int) -> list[Run]:
+    """Write ``key, value, op, seq`` as up to ``parts`` runs of disjoint key ranges."""
+    path = f"{config.data_path}/run_id={first_id}"
+    rows = with_ranges(df.select("key", "value", "op", "seq"), parts=parts)
+    rows = rows.withColumnRenamed(RANGE, "part").repartition(max(1, parts), "part").sortWithinPartitions("part", "key", F.desc("seq"))
+    rows.write.partitionBy("part").options(**config.writer_options()).parquet(path)
+    return _described(df.sparkSession, path, first_id, level)
+
+
+def _described(spark: SparkSession, path: str, first_id: int, level: int) -> list[Run]:
+    """The runs below a path that was written, numbered on in key order; an empty one if there are no rows."""
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/(part=\d+)/[^/]*$", 1)
+    rows = spark.read.schema(LOG_SCHEMA).parquet(path).select(folder.alias("folder"), "key", "value", "seq")
+    found = rows.groupBy("folder").agg(F.count("*"), F.sum(row_bytes()), F.hex(F.min("key")), F.hex(F.max("key")), F.min("seq"), F.max("seq")).collect()  # one row a run
+    found.sort(key=lambda r: r[3] or "")
+    return [Run(first_id + i, level, f"{path}/{r[0]}".rstrip("/"), *r[1:]) for i, r in enumerate(found)] or [Run(first_id, level, path, 0, 0, None, None, 0, 0)]
 
 
 def read_runs(spark: SparkSession, runs: list[Run], skip_corrupt: bool = False) -> DataFrame:

@@ -1,7 +1,9 @@
 """The key-value engine: views, keyspace, compaction, codecs."""
 
+import bisect
 import math
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from keystrata.keyspace import Keyspace
 from keystrata.operators import membership, view
 from keystrata.plans import compaction
 from keystrata.sources.manifest import Run, Version
+from keystrata.streaming import ingest
 
 LOG = "key binary, value binary, op string, seq long"
 
@@ -226,17 +229,137 @@ def test_cli(spark, tmp_path):
 
 
 def test_stream_ingest(spark, tmp_path):
-    from keystrata.streaming.ingest import ingest
-
     rows = spark.createDataFrame([("a", "1", "P", 1), ("b", "2", "P", 2), ("a", "3", "P", 3), ("b", None, "D", 4)], "key string, value string, op string, seq long")
     rows.write.parquet(str(tmp_path / "in"))
     ks = keyspace(spark, tmp_path)
-    ingest(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), ks, str(tmp_path / "cp")).awaitTermination()
+    ingest.ingest(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), ks, str(tmp_path / "cp")).awaitTermination()
     assert items(ks) == {b"a": b"3"}
 
 
 def test_queries_have_oracles():
     import __spark_entry__ as entry
 
-    missing = {n for n in entry.queries() if n.startswith("kv_")} - set(entry.oracle_sql())
-    assert missing == {"kv_bloom_sketch"}
+    missing = {n for n in entry.queries() if n.startswith(("kv_", "ks_", "stream_"))} - set(entry.oracle_sql())
+    assert not missing
+
+
+@pytest.fixture(scope="module")
+def wide(spark):
+    n = 120_000
+    df = spark.range(n).select(F.format_string("%016x", F.xxhash64("id")).alias("key"), F.repeat(F.lit("v"), (F.col("id") % 40).cast("int")).alias("value"), F.lit("P").alias("op"), F.col("id").alias("seq"))
+    return df.repartition(16).cache()
+
+
+def test_parts_of_many_keys(spark, wide):
+    rows = sorted(compaction.split_runs(wide, 65_536).select("key", "value", "part").collect())
+    done = 0
+    for r in rows:
+        assert r.part == done // 65_536
+        done += len(r.key) + len(r.value) + 8
+    assert len(rows) == 120_000
+
+
+def test_seek_and_neighbours_of_many_keys(spark, wide):
+    keys = sorted(r.key for r in wide.select("key").collect())
+    probes = spark.range(30_000).select(F.format_string("%016x", F.xxhash64("id", F.lit(3))).alias("probe")).unionByName(wide.limit(50).select(F.col("key").alias("probe"))).unionByName(spark.createDataFrame([("",), ("zz",)], "probe string"))
+    for r in view.seek(wide, probes).collect():
+        at = bisect.bisect_left(keys, r.probe)
+        assert r.key == (keys[at] if at < len(keys) else None)
+    for at, r in enumerate(sorted(view.neighbours(wide).collect(), key=lambda r: r.key)):
+        assert r.prev_key == (keys[at - 1] if at else None) and r.next_key == (keys[at + 1] if at + 1 < len(keys) else None)
+    assert view.seek(wide.limit(0), probes).where("key IS NOT NULL").isEmpty() and view.neighbours(wide.limit(0)).isEmpty()
+
+
+def test_compaction_cuts_by_ranges(spark, wide, tmp_path):
+    ks = keyspace(spark, tmp_path, base_file_bytes=1 << 20)
+    ks.write_batch(wide.select("key", "value"))
+    ks.flush()
+    assert ks.compact(force=True)
+    runs = ks.version.level(1)
+    assert len(runs) > 3 and all(a.max_key < b.min_key for a, b in zip(runs, runs[1:], strict=False)) and sum(r.rows for r in runs) == 117_000  # empty values are tombstones
+    low = wide.where("value <> ''").agg(F.min("key")).first()[0]
+    assert ks.get(low) is not None and len(ks.log(low.encode(), low.encode()).inputFiles()) < len(runs)
+    ks.vacuum()
+    assert ks.items().count() == 117_000
+
+
+def test_input_is_evaluated_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    keyspace(spark, tmp_path).write_batch(spark.range(100).selectExpr("string(id) AS key", "'v' AS value").mapInArrow(count, "key string, value string"))
+    assert seen.value == 100
+
+
+def test_stream_batches_are_written_once(spark, tmp_path):
+    ks = keyspace(spark, tmp_path)
+    old, new = (spark.createDataFrame([("k", v)], "key string, value string") for v in ("old", "new"))
+    assert ks.write_batch(old, stream=("s", 0)) and ks.write_batch(new, stream=("s", 1))
+    assert not ks.write_batch(old, stream=("s", 0)) and ks.get("k") == b"new"
+    ks = Keyspace(spark, ks.config)  # staged batches keep their names
+    assert not ks.write_batch(old, stream=("s", 1)) and ks.write_batch(old, stream=("t", 0))
+    ks.flush()
+    ks = Keyspace(spark, ks.config)  # and so does the manifest
+    assert not ks.write_batch(new, stream=("t", 0)) and ks.get("k") == b"old"
+
+
+def test_damaged_log(spark, tmp_path):
+    ks = keyspace(spark, tmp_path)
+    for k in "abc":
+        ks.put(k, k)
+    folder = tmp_path / "ks" / "log"
+    for part in (folder / "batch=1").glob("*.parquet"):
+        part.write_bytes(b"PAR1 broken")
+    (folder / ".leftover").mkdir()
+    with pytest.raises(Exception):  # noqa: B017
+        Keyspace(spark, ks.config)
+    again = Keyspace(spark, config.Config(ks.config.path, auto_compact=False, skip_damaged_log=True))
+    assert items(again) == {b"b": b"b", b"c": b"c"}
+    shutil.rmtree(folder / "batch=2")
+    assert items(Keyspace(spark, config.Config(ks.config.path, auto_compact=False, skip_damaged_log=True))) == {}  # nothing after a lost batch
+
+
+def test_cursor(spark, tmp_path):
+    ks = keyspace(spark, tmp_path)
+    assert not ks.cursor().seek_to_first()
+    ks.write_batch(spark.createDataFrame([(f"k{i:02}", f"v{i}") for i in range(25)], "key string, value string"))
+    ks.delete("k07")
+    c = ks.cursor(page=4)
+    expected = [(f"k{i:02}".encode(), f"v{i}".encode()) for i in range(25) if i != 7]
+    assert list(c) == expected and not c.valid()
+    assert c.seek("k07") and c.key() == b"k08" and c.prev() and c.key() == b"k06"
+    back, more = [], c.seek_to_last()
+    while more:
+        back.append((c.key(), c.value()))
+        more = c.prev()
+    assert back == expected[::-1]
+    with pytest.raises(ValueError):
+        c.key()
+
+
+def test_filter_bytes(spark):
+    members = spark.range(500).selectExpr("string(id) AS key")
+    sketch = membership.sketch_for(spark, members, 500, 0.01)
+    data = sketch.to_bytes()
+    assert repr(membership.Sketch.from_bytes(spark, data)) == repr(sketch) and membership.Sketch.from_bytes(spark, data).to_bytes() == data
+    for cut in (17, 100, len(data)):
+        assert membership.Sketch.from_bytes(spark, data[:cut]).might_contain(members).count() == 500
+    others = spark.range(10_000, 20_000).selectExpr("string(id) AS key", "id", "1 AS word")
+    hits = sketch.might_contain(others)
+    assert hits.columns == others.columns and hits.count() < 300 and sketch.grow(members).might_contain(others).count() < hits.count() + 1
+    for bad in (b"", b"\0" * 16):
+        with pytest.raises(ValueError):
+            membership.Sketch.from_bytes(spark, bad)
+
+
+def test_late_events(spark, tmp_path):
+    """Rows behind the watermark are dropped; windows are given out once it has passed."""
+    for i, rows in enumerate([["2024-01-01 00:10", "2024-01-01 05:00"], ["2024-01-01 00:20", "2024-01-01 09:00"]]):
+        spark.createDataFrame([(t, "a") for t in rows], "t string, key string").selectExpr("to_timestamp(t) AS ts", "key").coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    source = spark.readStream.schema("ts timestamp, key string").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = ingest.run_to_table(ingest.windows(source, "1 hour", late="1 hour"), str(tmp_path / "out"), str(tmp_path / "check"), "append")
+    assert sorted((str(r.start)[11:13], r.n) for r in got.collect()) == [("00", 1), ("05", 1)]
