@@ -29,6 +29,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ from .common import arrow_schema, discard, persist, slices
 
 LONG = 512
 BLOCK_CHARS = 4 << 20
-LISTED, LISTED_BYTES, HELD = 400_000, 64, 400_000
+LISTED, LISTED_BYTES, HELD = 1_000_000, 64, 400_000
 NO_PAIR = 65536
 
 
@@ -181,14 +182,55 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def frequent_words(df: DataFrame, text: str, path: str, listed: int) -> tuple[list[str], np.ndarray, np.ndarray, list[bytes]]:
-    """The most frequent runs of letters, each behind a space: words, ids in one array, the number of each, decoded bytes.
-
-    All runs are counted; those whose count is at least a power of 2 ** (1 / 8)
+class Listed:
+    """Frequent words by hash, with their ids and decoded bytes, all in flat arrays."""
+
+    def __init__(self, words: pa.Array, ids: pa.Array, pieces: pa.Array):
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in words.to_pylist()], np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        take = pa.array(order)
+        self.hashes = hashes[order]
+        self.flat, self.lengths = _flat(words.take(take))
+        ids = ids.take(take)
+        self.ids, self.n_ids = np.asarray(ids.flatten()).astype(np.uint32), np.asarray(ids.value_lengths()).astype(np.uint8)
+        self.pieces, self.n_bytes = _flat(pieces.take(take))
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def find(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word in the list, or -1. Hashes find a word, its bytes prove it."""
+        out = np.full(len(words), -1, np.int32)
+        if not len(self) or not words:
+            return out
+        h = np.array(list(map(xxhash.xxh64_intdigest, words)), np.uint64)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self) - 1)
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        hit = np.flatnonzero((self.hashes[at] == h) & (self.lengths[at] == n))
+        if not len(hit):
+            return out
+        starts = (np.cumsum(self.lengths, dtype=np.int64) - self.lengths)[at[hit]]
+        n = n[hit]
+        first = np.cumsum(n) - n
+        own = np.frombuffer(b"".join([words[k] for k in hit.tolist()]), np.uint8)
+        same = np.logical_and.reduceat(own == self.flat[np.repeat(starts - first, n) + np.arange(len(own))], first)
+        out[hit[same]] = at[hit[same]]
+        return out
+
+
+def _flat(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    values = values.cast(pa.binary()).to_pylist()
+    return np.frombuffer(b"".join(values), np.uint8), np.fromiter(map(len, values), np.uint8, len(values))
+
+
+def frequent_words(df: DataFrame, text: str, path: str, listed: int) -> Listed:
+    """The most frequent words of letters alone between spaces, each behind a space.
+
+    All words are counted; those whose count is at least a power of 2 ** (1 / 8)
     are listed, the least such power for which they are ``listed`` at most.
     """
-    runs = df.select(F.explode(F.split(F.col(text), "[^\\p{L}]+")).alias("w")).where((F.length("w") > 0) & (F.octet_length("w") < LISTED_BYTES))
-    counts = persist(runs.groupBy("w").agg(F.floor(8 * F.log2(F.count("*"))).cast("int").alias("step")), "words")
+    words = df.select(F.explode(F.split(F.col(text), " ")).alias("w")).groupBy("w").agg(F.floor(8 * F.log2(F.count("*"))).cast("int").alias("step"))
+    counts = persist(words.where((F.octet_length("w") < LISTED_BYTES) & F.col("w").rlike("^\\p{L}+$")), "words")
     least, room = 1 << 30, listed
     for r in counts.groupBy("step").count().orderBy(F.desc("step")).collect():  # 512 rows at most
         room -= r["count"]
@@ -196,14 +238,12 @@ def frequent_words(df: DataFrame, text: str, path: str, listed: int) -> tuple[li
             break
         least = r["step"]
     word = F.concat(F.lit(" "), "w")
-    byte = F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.conv(F.hex(F.substring(F.encode(word, "UTF-8"), i, F.lit(1))), 16, 10).cast("int"))
-    found = counts.where(F.col("step") >= least).select(word.alias("word"), F.get(encode_words(F.array(byte), path), 0).alias("ids"))
-    got = found.select("word", "ids", decode_ids(F.col("ids"), path).alias("piece")).toArrow().sort_by("word").combine_chunks()  # listed rows at most
+    byte = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.ascii(c))
+    found = counts.where(F.col("step") >= least).repartition(64, "w").select(word.alias("word"), F.get(encode_words(F.array(byte), path), 0).alias("ids"))
+    got = found.select("word", "ids", decode_ids(F.col("ids"), path).alias("piece")).toArrow().combine_chunks()  # listed rows at most
     discard(counts)
-    if not len(got):
-        return [], np.zeros(0, np.uint32), np.zeros(0, np.int64), []
-    ids = got.column(1).chunk(0)
-    return got.column(0).to_pylist(), np.asarray(ids.flatten()).astype(np.uint32), np.asarray(ids.value_lengths()).astype(np.int64), got.column(2).to_pylist()
+    cols = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in got.columns]
+    return Listed(cols[0].cast(pa.binary()), cols[1], cols[2])
 
 
 def byte_lists(words: list[bytes]) -> pa.ListArray:
@@ -212,29 +252,29 @@ def byte_lists(words: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat))
 
 
-def blocks(df: DataFrame, pattern: str, path: str, listed: list[str]) -> DataFrame:
+def blocks(df: DataFrame, pattern: str, path: str, listed: Listed) -> DataFrame:
     """Rows of documents with their new words: ``keys, sizes, index, before, words, longs``.
 
-    ``index`` numbers the listed words first, then those that the task has met.
+    ``index`` numbers the listed words first, then the others that the task has met.
     ``before`` is how many of the latter earlier rows of the task hold; it is 0
     where numbering starts anew, which bounds the memory.
     """
-    column, base = df.columns[1], len(listed)
+    column = df.columns[1]
 
     def run(batches):
         import regex
 
         find = regex.compile(pattern).findall
-        known = {w: k for k, w in enumerate(listed)}
         state = None
         for whole in batches:
             for batch in slices(whole, column, BLOCK_CHARS):
                 if state is None or len(state[0]) > HELD:
-                    state = Chunks(), {}, Ragged()
-                yield block(batch, find, known, *state)
+                    state = [Chunks(), {}, Ragged(), np.zeros(0, np.int32)]
+                yield block(batch, find, state)
 
-    def block(batch, find, known, chunks, numbers, of_chunk):
-        parts, words, before = [], [], len(numbers)
+    def block(batch, find, state):
+        chunks, numbers, of_chunk, place = state
+        parts, words = [], []
         for t in batch.column(1).to_pylist():
             parts.append(chunks.split(t) if t else np.zeros(0, np.int64))
             if chunks.texts:
@@ -242,16 +282,20 @@ def blocks(df: DataFrame, pattern: str, path: str, listed: list[str]) -> DataFra
                 for c in chunks.drain():
                     row = []
                     for w in find(c):
-                        k = known.get(w)
+                        k = numbers.get(w)
                         if k is None:
-                            k = numbers.get(w)
-                            if k is None:
-                                k = numbers[w] = base + len(numbers)
-                                words.append(w.encode())
+                            k = numbers[w] = len(numbers)
+                            words.append(w.encode())
                         row.append(k)
                     found.append(row)
                 of_chunk.extend(found)
-        index = [of_chunk.gather(p).astype(np.int32) for p in parts]
+        at = listed.find(words)
+        new = np.flatnonzero(at < 0)
+        before = int((place >= len(listed)).sum())
+        at[new] = len(listed) + before + np.arange(len(new))
+        place = state[3] = np.concatenate([place, at])
+        words = [words[k] for k in new.tolist()]
+        index = [place[of_chunk.gather(p)] for p in parts]
         ranks, longs = None, []
         for k, w in enumerate(words):
             if len(w) > LONG:
@@ -278,7 +322,7 @@ def op2_bpe(df: DataFrame, path: str | None = None, pattern: str | None = None,
     import public_tokenizers
 
     path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
-    top, flat, lengths, top_pieces = frequent_words(df, text, path, listed)
+    top = frequent_words(df, text, path, listed)
     found = blocks(df.select(id_col, text), pattern, path, top)
     found = found.select("keys", "sizes", "index", "before", encode_words(F.col("words"), path).alias("ids"), "longs")
     found = found.select("*", F.transform("ids", lambda i: decode_ids(i, path)).alias("pieces"), F.transform("longs", lambda x: decode_ids(x["ids"], path)).alias("long_pieces"))
@@ -286,21 +330,23 @@ def op2_bpe(df: DataFrame, path: str | None = None, pattern: str | None = None,
     target, arrow = arrow_schema(df.sparkSession, kind)
 
     def run(batches):
-        of_word, pieces = None, []
+        of_word = of_bytes = None
         for batch in batches:
             for r in range(len(batch)):
                 keys, sizes, index, before, ids, longs, new, long_pieces = (batch.column(c)[r] for c in range(8))
                 if before.as_py() == 0:
-                    of_word, pieces = Ragged(np.uint32), list(top_pieces)
-                    of_word.extend_flat(flat, lengths)
-                first = len(pieces)
-                if first != len(lengths) + before.as_py():
+                    of_word, of_bytes = Ragged(np.uint32), Ragged(np.uint8)
+                    of_word.extend_flat(top.ids, top.n_ids.astype(np.int64))
+                    of_bytes.extend_flat(top.pieces, top.n_bytes.astype(np.int64))
+                first = of_word.n
+                if first != len(top) + before.as_py():
                     raise RuntimeError("a row refers to words that this task has not met")
                 of_word.extend_flat(np.asarray(ids.values.flatten()).astype(np.uint32), np.asarray(ids.values.value_lengths()).astype(np.int64))
-                pieces += new.values.to_pylist()
+                pieces = new.values.to_pylist()
+                of_bytes.extend_flat(np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, len(pieces)))
                 for x, p in zip(longs.as_py(), long_pieces.as_py(), strict=True):
                     of_word.put(first + x["word"], x["ids"])
-                    pieces[first + x["word"]] = p
+                    of_bytes.put(first + x["word"], np.frombuffer(p, np.uint8))
                 index, at = np.frombuffer(index.as_py(), np.int32), 0
                 n, ids_sha, sha = [], [], []
                 for size in sizes.as_py():
@@ -309,7 +355,7 @@ def op2_bpe(df: DataFrame, path: str | None = None, pattern: str | None = None,
                     tokens = of_word.gather(words)
                     n.append(len(tokens))
                     ids_sha.append(hashlib.sha256(tokens.astype("<u4", copy=False)).hexdigest())
-                    sha.append(hashlib.sha256(b"".join(map(pieces.__getitem__, words.tolist()))).hexdigest())
+                    sha.append(hashlib.sha256(of_bytes.gather(words)).hexdigest())
                 yield pa.RecordBatch.from_arrays([keys.values, pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(sha)], schema=arrow)
 
     return found.mapInArrow(run, target)

@@ -91,9 +91,9 @@ class Ragged:
         self.used += len(flat)
         self.n += len(lengths)
 
-    def put(self, at: int, values: list) -> None:
+    def put(self, at: int, values) -> None:
         """Replace array number ``at``."""
-        values = np.array(values, self.flat.dtype)
+        values = np.asarray(values, self.flat.dtype)
         while self.used + len(values) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(values)] = values
