@@ -10,6 +10,7 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from keystrata.llm import bilinear_lm, byte_bpe, cover_tree, jaccard_join, language_id, line_dedup, media_ogg, packing, substring_dedup, url_filter
@@ -51,6 +52,10 @@ def nothing(spark):
     return spark.createDataFrame([], "doc_id long, text string, lang string")
 
 
+def rows_text(rows, key):
+    return next(t for k, t, _ in rows if k == key)
+
+
 def collected(df, *cols):
     return sorted((tuple(-1 if v is None else v for v in (r[c] for c in cols)) for r in df.collect()), key=repr)
 
@@ -103,6 +108,13 @@ def test_cuts_agree_with_the_pattern():
         assert [w for i in index for w in find(new[i])] == find(t), repr(t)
 
 
+@pytest.mark.parametrize("listed", [0, 1])
+def test_bpe_without_the_list(docs, listed):
+    """Words have the same ids from the list and from a block."""
+    cols = ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert collected(byte_bpe.op2_bpe(docs, listed=listed), *cols) == collected(byte_bpe.op2_bpe(docs), *cols)
+
+
 @pytest.mark.parametrize("block", [256, 2])
 def test_jaccard(docs, rows, nothing, block):
     grams = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for w in ((t or "").encode().split() for _, t, _ in rows)]
@@ -353,15 +365,59 @@ def test_lm(docs, rows, nothing, monkeypatch):
     got = bilinear_lm.op10_lm(docs).collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == sorted(expected)
     assert all(r.score < 0 and r.held_out == held(r.doc_id) for r in got)
+    by_text = defaultdict(set)
+    for r in got:
+        by_text[rows_text(rows, r.doc_id)].add(r.score)
+    assert all(len(v) == 1 for v in by_text.values())  # equal texts have equal scores
     assert bilinear_lm.op10_lm(nothing).count() == 0
 
 
 def test_lm_is_normalised():
-    pairs = np.random.default_rng(1).poisson(2, (2, 12, 11)).astype(float)
-    probs = bilinear_lm.train(pairs, 100)
-    assert np.allclose(probs.sum(2), 1)
-    direct = pairs[0] / pairs[0].sum(1, keepdims=True)
-    assert np.abs(probs[0] - direct).mean() < 0.06
+    rng = np.random.default_rng(1)
+    counts = np.concatenate([rng.integers(1, 1000, 200), rng.integers(0, 50, bilinear_lm.BUCKETS)]).astype(float)
+    model = bilinear_lm.Model(counts)
+    for name, p in model.params.items():
+        p += rng.normal(0, 0.3, p.shape)
+    size = len(counts)
+    assert sorted(model.place) == list(range(size)) and (model.of_place[model.place] == model.of).all()
+    for context in ((3, 7), (size, size), (size - 1, 0)):
+        before = np.tile(np.array(context, np.int32)[:, None], (1, size))
+        assert np.isclose(np.exp(model.log_probs(np.arange(size), before)).sum(), 1)
+
+
+def test_lm_learns_from_both_contexts():
+    """Tokens depend on the sum of the two before them; sampled noise is enough to find that."""
+    rng = np.random.default_rng(2)
+    words, n = 12, 60_000
+    seq = rng.integers(0, words, n)
+    for i in range(2, n):
+        if rng.random() < 0.8:
+            seq[i] = (3 * (seq[i - 1] % 3) + seq[i - 2] % 3) % words
+    counts = np.concatenate([np.bincount(seq, minlength=words), [1], np.zeros(bilinear_lm.BUCKETS)]).astype(float)
+    model = bilinear_lm.Model(counts)
+    before = np.stack([np.roll(seq, 1), np.roll(seq, 2)]).astype(np.int32)
+    was = model.log_probs(seq, before).mean()
+    trainer = bilinear_lm.Trainer(model, 0)
+    for _ in range(8):
+        for at in range(2, n, 500):
+            trainer.step(seq[at : at + 500], before[:, at : at + 500])
+    for name, rows, met, add in trainer.changes():
+        model.params[name][rows] += add / met[:, None]
+    assert model.log_probs(seq, before).mean() > was + 0.6
+
+
+def test_lm_gains_on_held_out_texts(spark):
+    r = random.Random(3)
+    after = {w: r.sample(range(400), 4) for w in range(400)}
+    rows = []
+    for i in range(600):
+        w, words = r.randrange(400), []
+        for _ in range(150):
+            w = r.choice(after[w]) if r.random() < 0.9 else r.randrange(400)
+            words.append(f"w{w}")
+        rows.append((i, " ".join(words)))
+    got = bilinear_lm.op10_lm(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert got[0] > got[1] + 0.2 * got[2]
 
 
 def test_pipeline(spark, docs, rows):
