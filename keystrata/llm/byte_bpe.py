@@ -38,7 +38,7 @@ from .common import arrow_schema, discard, persist, slices
 
 LONG = 512
 BLOCK_CHARS = 4 << 20
-LISTED, LISTED_BYTES, HELD = 1_000_000, 64, 400_000
+LISTED, LISTED_BYTES, HELD = 700_000, 64, 400_000
 NO_PAIR = 65536
 
 
@@ -117,30 +117,33 @@ def encode_words(words: Column, path: str) -> Column:
     pair is in the vocabulary and at least 65536 otherwise.
     """
     first, starts, table, _ = rank_table(path)
-    first, starts, table = _literal(first, "bigint"), _literal(starts, "int"), _literal(table, "bigint")
     rest, low, high, none = F.lit(1 << 20), F.lit(0xFFFF).cast("bigint"), F.lit(1 << 32).cast("bigint"), F.lit(NO_PAIR).cast("bigint")
 
-    def pair(left: Column, right: Column) -> Column:
-        found = F.get(table, F.get(starts, left.cast("int")) + right.cast("int"))
-        return F.least(F.shiftleft(left, 16).bitwiseXOR(found), none)  # nulls do not count
+    def fold(word: Column, starts: Column, table: Column) -> Column:
+        def pair(left: Column, right: Column) -> Column:
+            found = F.get(table, F.get(starts, left.cast("int")) + right.cast("int"))
+            return F.least(F.shiftleft(left, 16).bitwiseXOR(found), none)  # nulls do not count
 
-    def start(word: Column) -> Column:
-        ids = F.transform(word, lambda b: F.get(first, b))
-        return _let(ids, lambda x: F.concat(F.array(F.lit(None).cast("bigint")), F.transform(x, lambda v, i: F.shiftleft(pair(v, F.get(x, i + 1)), 32) + F.shiftleft(i, 16) + v)))
+        def start(word: Column) -> Column:
+            ids = F.transform(word, lambda b: F.get(_literal(first, "bigint"), b))
+            return _let(ids, lambda x: F.concat(F.array(F.lit(None).cast("bigint")), F.transform(x, lambda v, i: F.shiftleft(pair(v, F.get(x, i + 1)), 32) + F.shiftleft(i, 16) + v)))
 
-    def step(state: Column, _: Column) -> Column:
-        def merge(m: Column, i: Column) -> Column:
-            new, before = F.shiftright(m, 32), F.get(state, i - 2)
-            left = F.shiftleft(pair(before.bitwiseAND(low), new), 32) + F.pmod(before, high)
-            return F.concat(
-                F.slice(state, 1, i - 2),
-                F.array(left, F.shiftleft(pair(new, F.get(state, i + 1).bitwiseAND(low)), 32) + (F.pmod(m, high) - m.bitwiseAND(low) + new)),
-                F.slice(state, i + 2, rest),
-            )
+        def step(state: Column, _: Column) -> Column:
+            def merge(m: Column, i: Column) -> Column:
+                new, before = F.shiftright(m, 32), F.get(state, i - 2)
+                left = F.shiftleft(pair(before.bitwiseAND(low), new), 32) + F.pmod(before, high)
+                return F.concat(
+                    F.slice(state, 1, i - 2),
+                    F.array(left, F.shiftleft(pair(new, F.get(state, i + 1).bitwiseAND(low)), 32) + (F.pmod(m, high) - m.bitwiseAND(low) + new)),
+                    F.slice(state, i + 2, rest),
+                )
 
-        return _let(F.array_min(state), lambda m: F.when(m < NO_PAIR << 32, _let(F.array_position(state, m).cast("int"), lambda i: merge(m, i))).otherwise(state))
+            return _let(F.array_min(state), lambda m: F.when(m < NO_PAIR << 32, _let(F.array_position(state, m).cast("int"), lambda i: merge(m, i))).otherwise(state))
 
-    return F.transform(words, lambda w: F.aggregate(w, start(w), step, lambda s: F.transform(F.slice(s, 2, rest), lambda v: (v.bitwiseAND(low) - 1).cast("int"))))
+        return F.aggregate(word, start(word), step, lambda s: F.transform(F.slice(s, 2, rest), lambda v: (v.bitwiseAND(low) - 1).cast("int")))
+
+    # the tables are bound once, so that a plan holds each of them once
+    return _let(_literal(starts, "int"), lambda s: _let(_literal(table, "bigint"), lambda t: F.transform(words, lambda w: fold(w, s, t))))
 
 
 def decode_ids(ids: Column, path: str) -> Column:
@@ -186,7 +189,7 @@ class Listed:
     """Frequent words by hash, with their ids and decoded bytes, all in flat arrays."""
 
     def __init__(self, words: pa.Array, ids: pa.Array, pieces: pa.Array):
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in words.to_pylist()], np.uint64)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words.to_pylist()), np.uint64, len(words))
         order = np.argsort(hashes, kind="stable")
         take = pa.array(order)
         self.hashes = hashes[order]
@@ -203,7 +206,7 @@ class Listed:
         out = np.full(len(words), -1, np.int32)
         if not len(self) or not words:
             return out
-        h = np.array(list(map(xxhash.xxh64_intdigest, words)), np.uint64)
+        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
         at = np.minimum(np.searchsorted(self.hashes, h), len(self) - 1)
         n = np.fromiter(map(len, words), np.int64, len(words))
         hit = np.flatnonzero((self.hashes[at] == h) & (self.lengths[at] == n))
@@ -219,8 +222,11 @@ class Listed:
 
 
 def _flat(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    values = values.cast(pa.binary()).to_pylist()
-    return np.frombuffer(b"".join(values), np.uint8), np.fromiter(map(len, values), np.uint8, len(values))
+    """All bytes of a column without nulls, and the length of each value."""
+    values = pa.concat_arrays([values.cast(pa.binary())])
+    ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int32)
+    data = np.frombuffer(values.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return data, np.diff(ends).astype(np.uint8)
 
 
 def frequent_words(df: DataFrame, text: str, path: str, listed: int) -> Listed:
