@@ -245,7 +245,7 @@ def frequent_words(df: DataFrame, text: str, path: str, listed: int) -> Listed:
         least = r["step"]
     word = F.concat(F.lit(" "), "w")
     byte = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.ascii(c))
-    found = counts.where(F.col("step") >= least).repartition(64, "w").select(word.alias("word"), F.get(encode_words(F.array(byte), path), 0).alias("ids"))
+    found = counts.where(F.col("step") >= least).repartition(16, "w").select(word.alias("word"), F.get(encode_words(F.array(byte), path), 0).alias("ids"))
     got = found.select("word", "ids", decode_ids(F.col("ids"), path).alias("piece")).toArrow().combine_chunks()  # listed rows at most
     discard(counts)
     cols = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in got.columns]

@@ -1,33 +1,50 @@
 """Operator 8: embedding near-dedup by dual traversal of cover trees.
 
-Vectors of length 1 with cosine at least t are at most sqrt(2 - 2t) apart.
-Vectors are cut into blocks of bounded size and each block becomes a cover
-tree: nested levels whose radii halve, each node with its true covering radius.
+Vectors of length 1 with cosine at least t are at most sqrt(2 - 2t) apart. The
+top of the tree is a net of points that covers a bounded sample; every vector
+belongs to the node of its nearest point, whose covering radius is taken over
+all its vectors. A vector is sent to the nodes whose radius and the bound reach
+it, and to no others. Nodes of too many vectors are split into blocks.
+
+Within a block the cover tree goes on: nested levels whose radii halve, a node's
+point being one of its children's too, each node with its true covering radius.
 Each pair of blocks is a group of its own, whose trees are traversed together:
 a pair of nodes further apart than the radii and the bound allow is pruned; one
 whose points must all link is counted whole; the rest descend, and points are
 compared by their cosine in double precision.
 
+The sample decides how much is pruned, not what is found. Where vectors have no
+structure, all nodes reach each other, and a vector is sent to about as many
+blocks as there are: as many as the square root of the vectors, in steps of
+``SPREAD``, unless memory asks for more.
+
 Edge cases: vectors that are null or zero, or hold null or non-finite
 components, link with nothing. Only vectors of one dimension are compared.
 Rows without an id come back unlinked. Rows that share an id are one vector:
-links join the id, and each row counts as a vector for the others' links.
+links join the id, and each row counts as a vector for the others' links. An
+empty table gives no rows; further columns have no influence.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import map_arrow, persist
 from .graph import connected_components
 from .words import grouped
 
 THRESHOLD = 0.95
-BLOCK = 4096
-RADII = (1.0, 0.5, 0.25, 0.125)
+#: Vectors of a block: the square root of their number times SPREAD, at least LEAST, at most so many bytes.
+SPREAD, LEAST, BLOCK_BYTES = 16, 2048, 32 << 20
+#: Points at the top of the tree, and vectors that are sampled for each.
+TOP, SAMPLED = 512, 8
+RADII = (1.0, 0.5, 0.25, 0.125, 0.0625)
 _SLACK = 1e-9
 
 
@@ -55,37 +72,50 @@ def net(points: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def levels(points: np.ndarray) -> np.ndarray:
-    """Node numbers of each point, one column a level; finer levels refine coarser ones."""
+    """The node of each point at each level, named by the number of its center.
+
+    Finer levels refine coarser ones, and a center stays one at all finer levels.
+    """
     out = np.zeros((len(points), len(RADII)), np.int32)
     group = np.zeros(len(points), np.int64)
     for k, radius in enumerate(RADII):
         order = np.argsort(group, kind="stable")
         cut = np.append(np.flatnonzero(np.diff(group[order], prepend=-1)), len(order))
-        new, used = np.zeros(len(points), np.int64), 0
+        new = group.copy()
         for a, b in zip(cut, cut[1:], strict=False):
             rows = order[a:b]
             if b - a == 1:
-                new[rows], n = used, 1
-            else:
-                centers, label = net(points[rows], radius)
-                new[rows], n = used + label, len(centers)
-            used += n
+                new[rows] = rows
+                continue
+            if k:  # the parent's center comes first, and so becomes a center
+                rows = np.append(group[rows[0]], rows[rows != group[rows[0]]])
+            centers, label = net(points[rows], radius)
+            new[rows] = rows[centers[label]]
         out[:, k] = group = new
     return out
 
 
 class Tree:
-    """Nodes of all levels over points sorted by level; each a range of points."""
+    """Nodes of all levels over points sorted by level; each a range of points.
 
-    def __init__(self, points: np.ndarray, label: np.ndarray):
+    ``at`` holds the points' numbers in their block, rising. Where only some of a
+    block are here, a node whose center is not takes its first point instead.
+    """
+
+    def __init__(self, points: np.ndarray, label: np.ndarray, at: np.ndarray):
         self.order = np.lexsort(label.T[::-1])
         self.points = points[self.order]
+        label = label[self.order]
         n = len(points)
-        cuts = [np.append(np.flatnonzero((np.diff(label[self.order, k], prepend=-1) != 0)), n) for k in range(label.shape[1])] + [np.arange(n + 1)]
+        cuts = [np.append(np.flatnonzero((np.diff(label[:, k], prepend=-1) != 0)), n) for k in range(label.shape[1])] + [np.arange(n + 1)]
         self.levels = []
         for k, cut in enumerate(cuts):
             start, size = cut[:-1], np.diff(cut)
-            center = np.add.reduceat(self.points, start, axis=0) / size[:, None]
+            center = self.points[start]
+            if k < label.shape[1]:
+                place = np.minimum(np.searchsorted(at, label[start, k]), n - 1)
+                here = at[place] == label[start, k]
+                center[here] = points[place[here]]
             gap = self.points - np.repeat(center, size, axis=0)
             radius = np.sqrt(np.maximum.reduceat((gap * gap).sum(1), start))
             child = np.searchsorted(cuts[k + 1], cut) if k + 1 < len(cuts) else None
@@ -147,10 +177,10 @@ def dual_traversal(left: Tree, right: Tree, threshold: float, found) -> None:
 def block_links(x: tuple, y: tuple | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids, their number of links, and the least id they reach in this pair of blocks.
 
-    ``x`` and ``y`` are (ids, points, level numbers); without ``y``, within x.
+    ``x`` and ``y`` are (ids, points, nodes, numbers); without ``y``, within x.
     """
-    left = Tree(x[1], x[2])
-    right = left if y is None else Tree(y[1], y[2])
+    left = Tree(*x[1:])
+    right = left if y is None else Tree(*y[1:])
     ids = x[0][left.order] if y is None else np.concatenate([x[0][left.order], y[0][right.order]])
     shift = 0 if y is None else len(x[0])
     n = len(ids)
@@ -198,7 +228,51 @@ def _unit(values: list, kind=np.float64) -> np.ndarray | None:
     return v / np.sqrt(v @ v)
 
 
-def embedding_groups(df: DataFrame, vector: str = "embedding", id_col: str = "vec_id", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+class Top:
+    """The points at the top of the trees of all vectors of one dimension, and their blocks."""
+
+    def __init__(self, sample: np.ndarray, most: int):
+        radius, self.points = 2.0, sample[:1]
+        while radius > RADII[-1]:  # the finest net that is not too large
+            centers, _ = net(sample, radius)
+            if len(centers) > most:
+                break
+            self.points, radius = sample[centers], radius / 2
+        self.radius = np.zeros(len(self.points))
+        self.blocks = np.ones(len(self.points), np.int64)
+
+    def distances(self, units: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(2 - 2 * units @ self.points.T, 0))
+
+    def cover(self, node: int, radius: float, count: int, block: int) -> None:
+        self.radius[node] = radius + _SLACK
+        self.blocks[node] = -(-count // block)
+
+    def reached(self, units: np.ndarray, bound: float) -> np.ndarray:
+        """Which nodes each vector can have partners in."""
+        return self.distances(units) <= self.radius + bound + 1e-7
+
+
+def block_rows(n: int, dims: int) -> int:
+    """Vectors of a block, for ``n`` vectors in all."""
+    return max(64, min(max(LEAST, SPREAD * math.isqrt(n)), BLOCK_BYTES // (8 * dims)))
+
+
+def tops(good: DataFrame, block: int | None) -> dict[int, tuple[Top, int]]:
+    """For each dimension the top of its trees and the vectors of a block; a row a dimension and node come to the driver."""
+    sizes = {r[0]: r[1] for r in good.groupBy("dims").count().collect()}
+    rows = {d: block or block_rows(n, d) for d, n in sizes.items()}
+    most = {d: min(TOP, -(-n // rows[d])) for d, n in sizes.items()}
+    by_hash = Window.partitionBy("dims").orderBy(F.xxhash64("unit"), "id")
+    sample = good.select("dims", "unit", F.row_number().over(by_hash).alias("n")).where(F.col("n") <= SAMPLED * max(most.values(), default=0))
+    units: dict[int, list] = {}
+    for r in sample.orderBy("dims", "n").toLocalIterator():  # TOP * SAMPLED vectors a dimension at most
+        if r.n <= SAMPLED * most[r.dims]:
+            units.setdefault(r.dims, []).append(np.frombuffer(r.unit))
+    return {d: (Top(np.array(u), most[d]), rows[d]) for d, u in units.items()}
+
+
+def embedding_groups(df: DataFrame, vector: str = "embedding", id_col: str = "vec_id", threshold: float = THRESHOLD, block: int | None = None) -> DataFrame:
     """``id_col, n_links, component_id, kept``, one row a vector."""
 
     def units(batch):
@@ -212,35 +286,76 @@ def embedding_groups(df: DataFrame, vector: str = "embedding", id_col: str = "ve
 
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
     good = persist(map_arrow(source.where("id IS NOT NULL"), units, "id long, dims long, unit binary"), "units")
-    blocks = good.groupBy("dims").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
-    dealt = good.join(F.broadcast(blocks), "dims").select("dims", F.pmod(F.xxhash64("id", "unit"), "blocks").alias("own"), "blocks", "id", "unit")  # one row a dimension
+    top, bound = tops(good, block), math.sqrt(2 - 2 * threshold)
+
+    def parts(batch, at, column):
+        dims = np.asarray(batch.column(at))
+        for d in np.unique(dims):
+            rows = np.flatnonzero(dims == d)
+            data = b"".join(batch.column(column).take(pa.array(rows)).to_pylist())
+            yield int(d), rows, np.frombuffer(data).reshape(len(rows), -1)
+
+    def nearest(batch):
+        node, gap = np.zeros(len(batch), np.int64), np.zeros(len(batch))
+        for d, rows, x in parts(batch, 1, 2):
+            far = top[d][0].distances(x)
+            node[rows], gap[rows] = far.argmin(1), far.min(1)
+        return {"dims": batch.column(1), "node": node, "gap": gap, "id": batch.column(0), "unit": batch.column(2)}
+
+    dealt = persist(map_arrow(good.select("id", "dims", "unit"), nearest, "dims long, node long, gap double, id long, unit binary", "unit"), "dealt")
+    for r in dealt.groupBy("dims", "node").agg(F.max("gap").alias("radius"), F.count("*").alias("n")).collect():  # TOP rows a dimension at most
+        top[r.dims][0].cover(r.node, r.radius, r.n, top[r.dims][1])
+    first = {d: np.cumsum(t.blocks) - t.blocks for d, (t, _) in top.items()}  # numbers of the nodes' blocks
+
+    def own(batch):
+        out = np.zeros(len(batch), np.int64)
+        node, salt = np.asarray(batch.column(1)), np.asarray(batch.column(2))
+        for d in np.unique(np.asarray(batch.column(0))):
+            rows = np.flatnonzero(np.asarray(batch.column(0)) == d)
+            out[rows] = first[d][node[rows]] + salt[rows] % top[d][0].blocks[node[rows]]
+        return {"dims": batch.column(0), "own": out, "id": batch.column(3), "unit": batch.column(4)}
+
+    blocks = map_arrow(dealt.select("dims", "node", F.pmod(F.xxhash64("id", "unit"), F.lit(1 << 40)).alias("salt"), "id", "unit"), own, "dims long, own long, id long, unit binary", "unit")
 
     def plant(table: pa.Table):
         for a, b in _cuts(table, 2):
             part = table.slice(a, b - a)
-            points = np.frombuffer(b"".join(part.column(4).to_pylist())).reshape(b - a, -1)
-            label = levels(points)
-            yield pa.RecordBatch.from_arrays([*(part.column(k).combine_chunks() for k in range(5)), pa.array([r.tobytes() for r in label], pa.binary())], names=["dims", "own", "blocks", "id", "unit", "nodes"])
-
-    trees = persist(dealt.repartition("dims", "own").sortWithinPartitions("dims", "own").mapInArrow(lambda it: grouped(it, 2, 1, plant), "dims long, own long, blocks long, id long, unit binary, nodes binary"), "trees")
-    pairs = trees.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pairs = pairs.select("dims", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "unit", "nodes")
+            points = np.frombuffer(b"".join(part.column(3).to_pylist())).reshape(b - a, -1)
+            label = np.column_stack([np.arange(b - a, dtype=np.int32), levels(points)])
+            yield pa.RecordBatch.from_arrays([*(part.column(k).combine_chunks() for k in range(4)), pa.array([r.tobytes() for r in label], pa.binary())], names=["dims", "own", "id", "unit", "nodes"])
+
+    trees = persist(blocks.repartition("dims", "own").sortWithinPartitions("dims", "own").mapInArrow(lambda it: grouped(it, 2, 1, plant), "dims long, own long, id long, unit binary, nodes binary"), "trees")
+
+    def visit(batch):
+        """A row for each block that a vector can have partners in."""
+        take, other = [], []
+        for d, rows, x in parts(batch, 0, 3):
+            i, node = np.nonzero(top[d][0].reached(x, bound))
+            n = top[d][0].blocks[node]
+            take.append(np.repeat(rows[i], n))
+            other.append(np.repeat(first[d][node] - (np.cumsum(n) - n), n) + np.arange(n.sum()))
+        take, other = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (take, other))
+        mine = np.asarray(batch.column(1))[take]
+        rest = [batch.column(k).take(pa.array(take)) for k in range(5)]
+        return {"dims": rest[0], "a": np.minimum(mine, other), "b": np.maximum(mine, other), "own": rest[1], "id": rest[2], "unit": rest[3], "nodes": rest[4]}
+
+    pairs = map_arrow(trees, visit, "dims long, a long, b long, own long, id long, unit binary, nodes binary", "unit", 256 << 10)
 
     def traverse(table: pa.Table):
         for a, b in _cuts(table, 3):
             part = table.slice(a, b - a)
             own = np.asarray(part.column(3))
-            ids = np.asarray(part.column(4))
-            points = np.frombuffer(b"".join(part.column(5).to_pylist())).reshape(b - a, -1)
             label = np.frombuffer(b"".join(part.column(6).to_pylist()), np.int32).reshape(b - a, -1)
-            first = part.column(1)[0].as_py()
-            if first == part.column(2)[0].as_py():
-                got = block_links((ids, points, label), None, threshold)
+            order = np.lexsort((label[:, 0], own))  # labels are numbers of centers, in the order of planting
+            own, at, label, ids = own[order], label[order, 0], label[order, 1:], np.asarray(part.column(4))[order]
+            points = np.frombuffer(b"".join(part.column(5).to_pylist())).reshape(b - a, -1)[order]
+            if part.column(1)[0].as_py() == part.column(2)[0].as_py():
+                got = block_links((ids, points, label, at), None, threshold)
             else:
-                x, y = own == first, own != first
-                if not x.any() or not y.any():
+                x, y = own == own[0], own != own[0]
+                if not y.any():
                     continue
-                got = block_links((ids[x], points[x], label[x]), (ids[y], points[y], label[y]), threshold)
+                got = block_links(*((ids[s], points[s], label[s], at[s]) for s in (x, y)), threshold)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["id", "links", "root"])
 
     linked = persist(pairs.repartition("dims", "a", "b").sortWithinPartitions("dims", "a", "b").mapInArrow(lambda it: grouped(it, 3, 1, traverse), "id long, links long, root long"), "linked")

@@ -309,16 +309,15 @@ def test_short_lines(spark, few):
     assert got == sorted(expected, key=repr)
 
 
-@pytest.mark.parametrize("block", [4096, 60])
+@pytest.mark.parametrize("block", [None, 60, 9])
 def test_embeddings(spark, block):
     r = np.random.default_rng(0)
     base = r.normal(size=(30, 16))
     rows = [(3 * i, (base[i % 30] + r.normal(size=16) * [0.02, 0.15, 0.3][i % 3]).tolist()) for i in range(300)]
-    rows += [(9001, None), (9002, [0.0] * 16), (9003, [None] + [1.0] * 15), (9004, [float("nan")] * 16), (9005, []), (9006, rows[0][1]), (None, [1.0] * 16)]
+    rows += [(9001, None), (9002, [0.0] * 16), (9003, [None] + [1.0] * 15), (9004, [float("nan")] * 16), (9005, []), (9006, rows[0][1]), (9007, rows[0][1][:8]), (9008, rows[1][1][:8]), (None, [1.0] * 16)]
     good = [(i, cover_tree._unit(v)) for i, v in rows]
     good = [(i, u) for i, u in good if u is not None and i is not None]
-    x = np.array([u for _, u in good])
-    linked = x @ x.T >= 0.95
+    linked = np.array([[len(u) == len(v) and u @ v >= 0.95 for _, v in good] for _, u in good])
     np.fill_diagonal(linked, False)
     root = np.array([i for i, _ in good])
     count = dict(zip(root.tolist(), linked.sum(1).tolist(), strict=True))
@@ -331,6 +330,29 @@ def test_embeddings(spark, block):
     assert collected(cover_tree.op8_embeddings(df, block=block), "vec_id", "n_links", "component_id") == sorted(expected, key=repr)
     if block == 60:
         assert cover_tree.op8_embeddings(df.limit(0)).count() == 0
+        again = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.0, 2.0])], "vec_id long, embedding array<double>")
+        assert collected(cover_tree.op8_embeddings(again), "vec_id", "component_id") == [(1, 1), (1, 1), (2, 1), (3, 1)]  # rows of one id are one vector
+
+
+def test_vectors_visit_only_nodes_in_reach(spark):
+    """With ten times the clusters, vectors are sent to no more blocks each."""
+    r = np.random.default_rng(5)
+    sent = []
+    for n in (20, 200):
+        x = r.normal(size=(n, 32))
+        x /= np.sqrt((x * x).sum(1, keepdims=True))
+        units = np.concatenate([c + r.normal(size=(40, 32)) * 0.005 for c in x])
+        units /= np.sqrt((units * units).sum(1, keepdims=True))
+        top = cover_tree.Top(units[r.permutation(len(units))], n)
+        far = top.distances(units)
+        for node in range(len(top.points)):
+            mine = far.argmin(1) == node
+            top.cover(node, far.min(1)[mine].max(), int(mine.sum()), 1000)
+        reached = top.reached(units, math.sqrt(0.1))
+        linked = units @ units.T >= 0.95
+        assert all(reached[i, far[j].argmin()] for i, j in zip(*np.nonzero(linked), strict=True))
+        sent.append(reached.sum(1).mean())
+    assert sent[1] < 2 * sent[0] < 6
 
 
 def test_language(spark, nothing):
