@@ -28,6 +28,7 @@ class Chunks:
         self.first: dict[str, int] = {}
         self.flags: dict[int, int] = {}  # of chunks that start or end with white space
         self.texts: list[str] = []  # the new ones since drain()
+        self.odd: list[int] = []  # which of them do not begin with one space or end with white space
         self._next = count().__next__
 
     def __len__(self) -> int:
@@ -37,11 +38,18 @@ class Chunks:
         n = where[key] = self._next()
         if flags:
             self.flags[n] = flags
+        if flags or where is self.first:
+            self.odd.append(len(self.texts))
         self.texts.append(text)
         return n
 
     def drain(self) -> list[str]:
-        out, self.texts = self.texts, []
+        return self.drain_with_odd()[0]
+
+    def drain_with_odd(self) -> tuple[list[str], list[int]]:
+        """The chunks that are new, and which of them cannot be joined with others."""
+        out = self.texts, self.odd
+        self.texts, self.odd = [], []
         return out
 
     def _whole(self, text: str) -> int:

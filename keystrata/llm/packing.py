@@ -229,29 +229,29 @@ def _piece_bytes(path: str) -> np.ndarray:
     return out
 
 
-def encode_chunks(chunks: list[str], path: str) -> list[np.ndarray]:
-    """Ids of each chunk.
+def encode_chunks(chunks: list[str], odd: list[int], path: str, out: Ragged) -> None:
+    """Append the ids of each chunk to ``out``.
 
     Chunks that begin with one space and end without white space are encoded
-    together, which a cut before such a space allows, and parted by bytes.
+    together, which a cut before such a space allows, and parted by bytes; the
+    ``odd`` ones alone.
     """
-    tokenizer, size, out = _tokenizer(path), _piece_bytes(path), [None] * len(chunks)
-    joined = [i for i, c in enumerate(chunks) if len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace()]
-    for at in range(0, len(joined), 2000):
-        part = joined[at : at + 2000]
-        ids = np.array(tokenizer.encode_batch_fast(["".join([chunks[i] for i in part])], add_special_tokens=False)[0].ids, np.uint32)
-        ends = np.cumsum([len(chunks[i].encode()) for i in part])
-        places = np.cumsum(size[ids])
+    tokenizer, size = _tokenizer(path), _piece_bytes(path)
+    base, plain = out.n, list(chunks)
+    for i in odd:
+        plain[i] = ""
+    for a in range(0, len(plain), 2000):
+        part = plain[a : a + 2000]
+        ids = np.array(tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, part)), np.int64, len(part)))
+        places = np.append(0, np.cumsum(size[ids]))
         cut = np.searchsorted(places, ends)
         if not (places[cut] == ends).all():
             raise ValueError("chunks do not end with tokens")
-        for i, x in zip(part, np.split(ids, cut[:-1] + 1), strict=True):
-            out[i] = x
-    rest = [i for i, x in enumerate(out) if x is None]
-    for at in range(0, len(rest), 5000):
-        for i, e in zip(rest[at : at + 5000], tokenizer.encode_batch_fast([chunks[i] for i in rest[at : at + 5000]], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, np.uint32)
-    return out
+        out.extend_flat(ids, np.diff(cut, prepend=0))
+    for a in range(0, len(odd), 5000):
+        for i, e in zip(odd[a : a + 5000], tokenizer.encode_batch_fast([chunks[i] for i in odd[a : a + 5000]], add_special_tokens=False), strict=True):
+            out.put(base + i, np.array(e.ids, np.uint32))
 
 
 _CACHE: dict[str, tuple[Chunks, Ragged]] = {}
@@ -272,9 +272,7 @@ def token_ids(texts: list[str | None], path: str) -> list[np.ndarray]:
         chunks.clear()
         _CACHE[path] = chunks, ids = chunks, Ragged(np.uint32)
     parts = [chunks.split(t) if t else np.zeros(0, np.int64) for t in texts]
-    new = encode_chunks(chunks.drain(), path)
-    if new:
-        ids.extend_flat(np.concatenate(new), np.fromiter(map(len, new), np.int64, len(new)))
+    encode_chunks(*chunks.drain_with_odd(), path, ids)
     return [ids.gather(p) for p in parts]
 
 

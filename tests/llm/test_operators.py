@@ -234,6 +234,25 @@ def test_bin_completion_is_exact_on_small_cases():
         assert Counter(v for p, k in packed for v in p for _ in range(k)) == Counter(items)
 
 
+def test_bin_completion_proves_optima():
+    def best(items, capacity):
+        least = {0: (1, 0)}  # set of packed pieces: bins and the level of the last
+        for m in range(1 << len(items)):
+            bins, level = least[m]
+            for i, size in enumerate(items):
+                if not m >> i & 1:
+                    new = (bins, level + size) if level + size <= capacity else (bins + 1, size)
+                    least[m | 1 << i] = min(new, least.get(m | 1 << i, (99, 0)))
+        return least[(1 << len(items)) - 1][0]
+
+    assert sum(k for _, k in packing.bin_completion(Counter([2, 5, 6, 6, 8, 9, 10, 10, 11, 11, 12]), 30)) == 3
+    r = random.Random(1)
+    for _ in range(400):
+        capacity = r.choice([24, 30, 50])
+        items = [r.randint(2, capacity // 2) for _ in range(r.randint(7, 10))]
+        assert sum(k for _, k in packing.bin_completion(Counter(items), capacity)) == best(items, capacity), (capacity, items)
+
+
 def test_fillings_of_many_pieces():
     assert sum(k for _, k in packing.bin_completion({410: 1500, 409: 1000})) == 500
     r = random.Random(7)
