@@ -14,6 +14,8 @@ import numpy as np
 
 def _blank_ends(part: str) -> int:
     """Bit 0: starts with white space or is empty; bit 1: ends so."""
+    if part and "!" <= part[0] <= "~" and "!" <= part[-1] <= "~":
+        return 0
     return 3 if not part else part[0].isspace() + 2 * part[-1].isspace()
 
 
@@ -59,13 +61,15 @@ class Chunks:
     def split(self, text: str) -> np.ndarray:
         parts = text.split(" ")
         head, parts = parts[0], parts[1:]
-        got = list(map(self.after.get, parts))
+        after = self.after
+        got = list(map(after.get, parts))
         if None in got:
-            for i, n in enumerate(got):
-                if n is None:
-                    p = parts[i]
-                    n = self.after.get(p)
-                    got[i] = self._add(self.after, p, " " + p, _blank_ends(p)) if n is None else n
+            i = got.index(None)
+            for _ in range(got.count(None)):
+                i = got.index(None, i)
+                p = parts[i]
+                n = after.get(p)
+                got[i] = self._add(after, p, " " + p, _blank_ends(p)) if n is None else n
         ends = 2 if head and head[-1].isspace() else 0
         if got and (ends or not self.flags.keys().isdisjoint(got)):
             f = np.array([ends, *(self.flags.get(n, 0) for n in got)])
