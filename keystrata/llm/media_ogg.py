@@ -75,24 +75,32 @@ def mux(payload: bytes, n_bytes: int, rate: int = RATE) -> bytes:
 def demux(media: bytes) -> dict[int, dict]:
     """Logical streams by serial number: packets, granule of each page, bad pages.
 
-    A page whose CRC is wrong, or that is cut short, is counted and its packets
-    are left out; the packet that it interrupts is dropped. Reading goes on at
+    A page whose CRC is wrong, or that is cut short, is not believed in anything:
+    it opens no stream, and counts as a bad page of the stream that it names only
+    if sound pages of that stream came before; all others are under ``None``. Its
+    packets are left out. A packet that a lost page interrupts is dropped; ``lost``
+    counts the pages that sequence numbers show to be missing. Reading goes on at
     the next capture pattern.
     """
     streams: dict[int, dict] = {}
+    unknown = 0
     at, n = 0, len(media)
     while (at := media.find(b"OggS", at)) >= 0 and at + 27 <= n:
         _, _, flags, granule, serial, seq, crc, segments = _HEAD.unpack_from(media, at)
         laces = media[at + 27 : at + 27 + segments]
         end = at + 27 + segments + sum(laces)
-        s = streams.setdefault(serial, {"packets": [], "granules": [], "pages": 0, "bad_pages": 0, "lost": 0, "part": None, "next": None, "bos": False, "eos": False})
         if len(laces) < segments or end > n or page_crc(media[at : at + 22] + b"\0\0\0\0" + media[at + 26 : end]) != crc:
-            s["bad_pages"] += 1
-            s["part"] = None
+            if serial in streams:
+                streams[serial]["bad_pages"] += 1
+                streams[serial]["part"] = None
+            else:
+                unknown += 1
             at += 4
             continue
+        s = streams.setdefault(serial, {"packets": [], "granules": [], "pages": 0, "bad_pages": 0, "lost": 0, "part": None, "next": None, "bos": False, "eos": False})
         s["pages"] += 1
-        s["lost"] += s["next"] is not None and seq != s["next"]
+        if s["next"] is not None and seq > s["next"]:
+            s["lost"] += seq - s["next"]
         if s["next"] is not None and seq != s["next"]:
             s["part"] = None
         s["next"] = seq + 1
@@ -114,12 +122,30 @@ def demux(media: bytes) -> dict[int, dict]:
         if granule >= 0:
             s["granules"].append((granule, len(s["packets"])))
         at = end
+    if unknown:
+        streams[None] = {"packets": [], "granules": [], "pages": 0, "bad_pages": unknown, "lost": 0, "part": None, "next": None, "bos": False, "eos": False}
     return streams
 
 
 def packet_times(stream: dict, rate: int) -> list[float]:
-    """Seconds at which each page of a stream ends, from granule positions."""
-    return [g / rate for g, _ in stream["granules"]]
+    """Seconds at which each packet of a stream ends.
+
+    A page's granule position is the end of the last packet that it finishes. The
+    packets of a page end at even steps between its position and the one before;
+    packets after the last position have that of the last.
+    """
+    out, last = [], 0
+    for granule, count in stream["granules"]:
+        n = count - len(out)
+        out += [(last + (granule - last) * (k + 1) / n) / rate for k in range(n)]
+        last = granule
+    return out + [last / rate] * (len(stream["packets"]) - len(out))
+
+
+def rate_of(stream: dict) -> int:
+    """Granules a second: of samples as their header says, 1 for any other stream."""
+    first = stream["packets"][0] if stream["packets"] else b""
+    return struct.unpack_from(">I", first, 16)[0] if first.startswith(_MAGIC) and len(first) >= 20 else 1
 
 
 def read_samples(media: bytes) -> tuple[bytes, int, dict]:
@@ -129,9 +155,9 @@ def read_samples(media: bytes) -> tuple[bytes, int, dict]:
     notes = next((s for s in streams.values() if s["packets"] and s["packets"][0].startswith(b"NOTES   ")), None)
     if audio is None or notes is None:
         raise ValueError("the file lacks a stream of samples or of notes")
-    rate = struct.unpack_from(">I", audio["packets"][0], 16)[0]
+    rate = rate_of(audio)
     times = packet_times(audio, rate)
-    facts = {"streams": len(streams), "pages": sum(s["pages"] for s in streams.values()), "bad_pages": sum(s["bad_pages"] for s in streams.values()), "lost": sum(s["lost"] for s in streams.values()), "packets": len(audio["packets"]) - 1, "rate": rate, "seconds": times[-1] if times else 0.0}
+    facts = {"streams": len(streams) - (None in streams), "pages": sum(s["pages"] for s in streams.values()), "bad_pages": sum(s["bad_pages"] for s in streams.values()), "lost": sum(s["lost"] for s in streams.values()), "packets": len(audio["packets"]) - 1, "rate": rate, "seconds": times[-1] if times else 0.0}
     return b"".join(audio["packets"][1:]), struct.unpack_from("<Q", notes["packets"][0], 8)[0], facts
 
 
@@ -189,23 +215,23 @@ def describe(df: DataFrame, media: str = "media", id_col: str = "doc_id") -> Dat
 
 
 def streams_table(df: DataFrame, media: str = "media", id_col: str = "doc_id") -> DataFrame:
-    """One row a packet: serial, number, start and end seconds of its page, data."""
+    """One row a packet: serial, number, the seconds at which it starts and ends, data.
+
+    Streams whose header gives no rate have one granule a second.
+    """
     import pyarrow as pa
 
     def run(batch):
         rows = []
         for key, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for serial, s in (demux(m) if m else {}).items():
-                ends, page_no = s["granules"], 0
-                for k, p in enumerate(s["packets"]):
-                    while page_no < len(ends) - 1 and k >= ends[page_no][1]:
-                        page_no += 1
-                    rows.append((key, serial, k, ends[page_no][0] if ends else None, p))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        return dict(zip((id_col, "serial", "packet", "granule", "data"), map(list, cols), strict=True)) | {id_col: pa.array(list(cols[0]), batch.column(0).type)}
+                ends = packet_times(s, rate_of(s))
+                rows.extend((key, serial, k, ends[k - 1] if k else 0.0, ends[k], p) for k, p in enumerate(s["packets"]))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+        return dict(zip((id_col, "serial", "packet", "start", "end", "data"), map(list, cols), strict=True)) | {id_col: pa.array(list(cols[0]), batch.column(0).type)}
 
     src = df.select(id_col, media)
-    return map_arrow(src, run, f"{id_col} {src.dtypes[0][1]}, serial long, packet long, granule long, data binary", media)
+    return map_arrow(src, run, f"{id_col} {src.dtypes[0][1]}, serial long, packet long, start double, end double, data binary", media)
 
 
 def op1_ogg(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -9,8 +9,10 @@ many bins as the counts allow, then to fewer, and prunes branches whose waste bo
 best-fit decreasing gives first. Pieces of one length are interchangeable; they
 are ranked in parallel by (length, salt) and find their place by rank.
 
-Edge cases: null and empty texts hold the end id alone. Repeated rows are
-packed each. An empty table gives no rows. The search ends at a proven optimum
+Edge cases: null and empty texts hold the end id alone. A document of exactly
+``capacity`` tokens is one full piece. Texts of any length are cut, the first
+piece being the shorter one. Repeated rows are packed each; ties in rank, of
+equal pieces, may swap places. Further columns have no influence. An empty table gives no rows. The search ends at a proven optimum
 or after ``nodes`` steps, with the best packing so far; all pieces are packed
 in any case.
 """
@@ -30,7 +32,8 @@ from .common import map_arrow, persist
 
 CAPACITY = 2048
 END = 0
-SALTS = 64
+#: Pieces of one length that are ranked in one group, about.
+RANKED = 50_000
 CACHE_CHUNKS = 1_000_000
 Pattern = tuple[int, ...]
 
@@ -306,21 +309,24 @@ def op6_pack(df: DataFrame, path: str | None = None, capacity: int = CAPACITY, t
         path = public_tokenizers.path("byte_bpe_50k.json")
     cut = persist(pieces(df, path, capacity, text, id_col), "pieces")
     full = cut.where(F.col("length") == capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    part = cut.where(F.col("length") < capacity).withColumn("_salt", F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    seen = part.groupBy("length", "_salt").count().collect()  # at most capacity x SALTS rows
-    counts: dict[int, int] = {}
-    for r in seen:
-        counts[r["length"]] = counts.get(r["length"], 0) + r["count"]
-    before, at = np.zeros((capacity + 1, SALTS), np.int64), {}
-    for r in sorted(seen, key=lambda r: (r["length"], r["_salt"])):
-        before[r["length"], r["_salt"]] = at.get(r["length"], 0)
-        at[r["length"]] = at.get(r["length"], 0) + r["count"]
+    part = cut.where(F.col("length") < capacity)
+    counts = {r["length"]: r["count"] for r in part.groupBy("length").count().collect()}  # at most capacity rows
+    # the pieces of a common length are ranked in as many groups as there are RANKED of them
+    salts = np.array([-(-counts.get(n, 0) // RANKED) for n in range(capacity + 1)], np.int64)
+    groups = F.get(F.array(*map(F.lit, np.maximum(salts, 1).tolist())), F.col("length").cast("int"))
+    part = part.withColumn("_salt", F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), groups).cast("int"))
+    first = np.cumsum(salts) - salts
+    sizes = np.zeros(int(salts.sum()) + 1, np.int64)
+    for r in part.groupBy("length", "_salt").count().collect():  # a row a group
+        sizes[first[r["length"]] + r["_salt"]] = r["count"]
+    before = np.cumsum(sizes) - sizes
+    before -= np.repeat(before[first], np.append(salts[:-1], salts[-1] + 1)) if len(before) else 0
     table = places(bin_completion(counts, capacity))
     ends = table[:, 0] * (1 << 44) + table[:, 1]
 
     def run(batch):
         size, salt, rank = (np.asarray(batch.column(k)).astype(np.int64) for k in (3, 5, 6))
-        rank = rank - 1 + before[size, salt]
+        rank = rank - 1 + before[first[size] + salt]
         row = table[np.searchsorted(ends, size * (1 << 44) + rank, "right") - 1] if len(size) else np.zeros((0, 5), np.int64)
         extra = [pa.array(row[:, 3] + rank - row[:, 1]), pa.array(row[:, 4])]
         return pa.RecordBatch.from_arrays([*batch.columns[:5], *extra], names=[*batch.schema.names[:5], "sequence_id", "offset"])

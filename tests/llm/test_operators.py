@@ -76,9 +76,15 @@ def test_ogg(docs, rows, nothing, spark):
     broken = bytearray(a)
     broken[40] ^= 1
     s = media_ogg.demux(bytes(broken))
-    assert s[1]["bad_pages"] == 1 and s[1]["packets"] == [] and s[2]["packets"] == [b"other"]
+    assert s[None]["bad_pages"] == 1 and s[1]["packets"] == [] and s[2]["packets"] == [b"other"]
+    broken[14] ^= 1  # a damaged serial number makes no stream
+    assert set(media_ogg.demux(bytes(broken))) == {None, 1, 2}
+    timed = media_ogg.page(1, 0, 4, [b"a", b"b"], 2) + media_ogg.page(1, 3, 10, [b"c"])
+    s = media_ogg.demux(timed)[1]
+    assert media_ogg.packet_times(s, 2) == [1.0, 2.0, 5.0] and s["lost"] == 2
     packets = media_ogg.streams_table(media_ogg.encode(spark.createDataFrame([(1, "hello")], "doc_id long, text string"))).collect()
     assert {p.serial for p in packets} == {media_ogg.SAMPLES, media_ogg.NOTES}
+    assert max(p.end for p in packets if p.serial == media_ogg.SAMPLES) == 576 / 8000
 
 
 def test_bpe(docs, rows, nothing):
@@ -171,6 +177,28 @@ def test_urls(spark):
     assert url_filter.op5_urls(df.limit(0)).count() == 0
 
 
+def test_urls_against_brute_force(spark):
+    """Naive Bayes in plain Python over the words that segmentation gives; repeated rows and very long urls."""
+    r = random.Random(11)
+    names = ["spam", "farm", "news", "site", "page", "cats", "dogs", "blog"]
+    urls = [f"http://{r.choice(names)}{r.choice(names)}.{r.choice(['net', 'com', 'org'])}/{r.choice(['es', 'en', 'fr'])}/{r.choice(names)}" for _ in range(150)]
+    urls += [urls[0], urls[0], "http://long.org/" + "spamfarm/" * 3000, None, "x"]
+    got = url_filter.op5_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "'c' AS words", "'d' AS row")).collect()
+    assert len(got) == len(urls)
+    words = {g.page_id: g.words.split() for g in got}
+    ruled = {g.page_id: g.verdict for g in got if g.rule}
+    counts = {v: Counter(w for k, x in ruled.items() if x == v for w in words[k]) for v in ("block", "allow")}
+    docs, seen = Counter(ruled.values()), set(counts["block"]) | set(counts["allow"])
+    size = {v: sum(counts[v].values()) + len(seen) + 1 for v in counts}
+    for g in got:
+        if not g.rule:
+            odds = math.log(docs["block"] / docs["allow"]) + sum(math.log((counts["block"][w] + 1) / size["block"]) - math.log((counts["allow"][w] + 1) / size["allow"]) for w in words[g.page_id])
+            assert math.isclose(odds, g.log_odds, rel_tol=1e-9, abs_tol=1e-9) and g.verdict == ("block" if odds > 0 else "allow")
+    assert {g.verdict for g in got if not g.rule} == {"allow", "block"}
+    assert all("h:spam" in words[k] for k, u in enumerate(urls) if u and u.startswith("http://spam"))
+    assert len({(g.verdict, g.log_odds) for g in got if g.page_id in (0, 150, 151)}) == 1
+
+
 def test_urls_keep_all_words(spark):
     long = "abcdefghijklmnopqrstuvwxyzabcd"
     words = ["spam", "farm", "news", "site", "page", "rare", "other"]
@@ -183,7 +211,9 @@ def test_urls_keep_all_words(spark):
     assert [got[0][at + i][1].split()[2:] for i in range(4)] == [["p:es", f"p:{long}"], [f"p:{long}"], [f"p:{long}", "p:spam"], ["p:spam", "p:rare", "p:farm"]]
 
 
-def test_packing(docs, rows, nothing):
+@pytest.mark.parametrize("ranked", [50_000, 2])
+def test_packing(docs, rows, nothing, ranked, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", ranked)  # pieces of one length in many groups
     t = packing._tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
     ids = defaultdict(list)
     for k, text, _ in rows:
@@ -391,6 +421,45 @@ def test_language(spark, nothing):
     assert language_id.op9_language(nothing).count() == 0
 
 
+def test_language_against_brute_force(spark):
+    """Also with repeated rows, ties, long texts and clashing columns."""
+    rows = [(i, t, ("en", "de", None)[i % 3]) for i, t in enumerate(texts())] + [(300, "qqq qqq", "aa"), (300, "qqq qqq", "aa"), (302, "qqq qqq", "bb"), (303, "ab " * 40_000, "en")]
+    _, base = language_id._vectors()
+    symbols = language_id._symbols()
+
+    def profile(text):
+        s = [int(symbols[ord(c)]) for c in (text or "").lower()]
+        s = [0, *s, 0]
+        s = [x for i, x in enumerate(s) if i == 0 or x or s[i - 1]]
+        grams = Counter(zip(s, s[1:], s[2:], strict=False))
+        if not grams:
+            return None
+        v = sum(n * (np.roll(base[a], 2).astype(float) * np.roll(base[b], 1) * base[c]) for (a, b, c), n in grams.items())
+        return v / np.sqrt(v @ v) if v.any() else v
+
+    def is_held(k):
+        return zlib.crc32(str(k).encode()) % 4 == 2
+
+    sums = defaultdict(lambda: 0)
+    for k, t, g in rows:
+        p = profile(t)
+        if p is not None and g is not None and not is_held(k):
+            sums[g] = sums[g] + np.rint(p * (1 << 20))
+    names = sorted(sums)
+    protos = np.array([sums[g] / np.sqrt(sums[g] @ sums[g]) for g in names])
+    expected = []
+    for k, t, _ in rows:
+        p = profile(t)
+        cos = None if p is None else protos @ p
+        expected.append((k, is_held(k), "und" if cos is None else names[int(np.argmax(cos.round(9)))], 0.0 if cos is None else round(min(1, max(0, cos.max())), 5)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'x' AS lang_pred", "1 AS score", "'y' AS held_out").repartition(3)
+    got = [(r.doc_id, r.held_out, r.lang_pred, round(r.score, 5)) for r in language_id.op9_language(df).collect()]
+    assert sorted(got) == sorted(expected)
+    assert {e[2] for e in expected if e[0] >= 300} >= {"aa"}  # equal prototypes: the smaller name
+    kept = language_id.keep_languages(df.withColumn("row", F.lit(1)))
+    assert kept.columns == [*df.columns, "row"] and kept.where("text IS NULL OR text = ''").isEmpty()
+
+
 def test_lm(docs, rows, nothing, monkeypatch):
     monkeypatch.setattr(bilinear_lm, "LISTED", 100)
     counts = Counter()
@@ -479,6 +548,17 @@ def test_pipeline(spark, docs, rows):
     assert {r.doc_id for r in packed} == set(kept[3])
 
 
+def test_pipeline_of_nothing_and_of_clashing_columns(spark, nothing, docs):
+    out = nothing
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, "")
+        assert out.columns == nothing.columns
+    assert corpus_pipeline.STAGES[-1][1](spark, out, "").count() == 0
+    for name, stage in corpus_pipeline.STAGES[:-1]:  # columns that operators name inside are carried along
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.where("id <> 'x' OR cls <> 'x' OR key <> 'x' OR _row <> 'x'").isEmpty(), name
+
+
 def test_pipeline_without_languages(spark):
     df = spark.createDataFrame([(1, "some words", None), (2, "12 !", None), (3, None, None)], "doc_id long, text string, lang string")
     assert [r.doc_id for r in corpus_pipeline.identify_language(spark, df, "").collect()] == [1]
