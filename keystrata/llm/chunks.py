@@ -7,7 +7,7 @@ of white space around such a space are left whole.
 
 from __future__ import annotations
 
-from itertools import count
+from itertools import count, repeat
 
 import numpy as np
 
@@ -28,7 +28,7 @@ class Chunks:
     def clear(self) -> None:
         self.after: dict[str, int] = {}  # chunks that begin with a space, without it
         self.first: dict[str, int] = {}
-        self.flags: dict[int, int] = {}  # of chunks that start or end with white space
+        self.flags = np.zeros(1 << 16, np.uint8)  # of all chunks: bit 0 if one starts with white space, bit 1 if it ends so
         self.texts: list[str] = []  # the new ones since drain()
         self.odd: list[int] = []  # which of them do not begin with one space or end with white space
         self._next = count().__next__
@@ -38,6 +38,8 @@ class Chunks:
 
     def _add(self, where: dict, key: str, text: str, flags: int) -> int:
         n = where[key] = self._next()
+        if n >= len(self.flags):
+            self.flags = np.concatenate([self.flags, np.zeros_like(self.flags)])
         if flags:
             self.flags[n] = flags
         if flags or where is self.first:
@@ -62,20 +64,18 @@ class Chunks:
         parts = text.split(" ")
         head, parts = parts[0], parts[1:]
         after = self.after
-        got = list(map(after.get, parts))
-        if None in got:
-            i = got.index(None)
-            for _ in range(got.count(None)):
-                i = got.index(None, i)
-                p = parts[i]
-                n = after.get(p)
-                got[i] = self._add(after, p, " " + p, _blank_ends(p)) if n is None else n
+        got = np.fromiter(map(after.get, parts, repeat(-1)), np.int64, len(parts))
+        for i in np.flatnonzero(got < 0).tolist():
+            p = parts[i]
+            n = after.get(p)
+            got[i] = self._add(after, p, " " + p, _blank_ends(p)) if n is None else n
+        f = self.flags[got]
         ends = 2 if head and head[-1].isspace() else 0
-        if got and (ends or not self.flags.keys().isdisjoint(got)):
-            f = np.array([ends, *(self.flags.get(n, 0) for n in got)])
+        if ends or f.any():
+            f = np.append(np.uint8(ends), f)
             if ((f[:-1] & 2) & ((f[1:] & 1) << 1)).any():
                 return np.array([self._whole(text)], np.int64)
-        return np.array(([self._whole(head)] if head else []) + got, np.int64)
+        return np.append(self._whole(head), got) if head else got
 
 
 class Ragged:
