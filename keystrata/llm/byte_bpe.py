@@ -38,7 +38,7 @@ from .common import arrow_schema, discard, persist, slices
 
 LONG = 512
 BLOCK_CHARS = 4 << 20
-LISTED, LISTED_BYTES, HELD = 700_000, 64, 400_000
+LISTED, LISTED_BYTES, HELD = 700_000, 64, 250_000
 NO_PAIR = 65536
 
 
@@ -140,7 +140,8 @@ def encode_words(words: Column, path: str) -> Column:
 
             return _let(F.array_min(state), lambda m: F.when(m < NO_PAIR << 32, _let(F.array_position(state, m).cast("int"), lambda i: merge(m, i))).otherwise(state))
 
-        return F.aggregate(word, start(word), step, lambda s: F.transform(F.slice(s, 2, rest), lambda v: (v.bitwiseAND(low) - 1).cast("int")))
+        # a word of n bytes takes n - 1 merges at most
+        return F.aggregate(F.slice(word, 2, rest), start(word), step, lambda s: F.transform(F.slice(s, 2, rest), lambda v: (v.bitwiseAND(low) - 1).cast("int")))
 
     # the tables are bound once, so that a plan holds each of them once
     return _let(_literal(starts, "int"), lambda s: _let(_literal(table, "bigint"), lambda t: F.transform(words, lambda w: fold(w, s, t))))

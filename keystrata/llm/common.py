@@ -88,29 +88,24 @@ def arrow_schema(spark: SparkSession, schema) -> tuple:
     return target, to_arrow_schema(target)
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema, text: str | None = None, limit: int = BATCH_CHARS, done: Callable | None = None) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable, schema, text: str | None = None, limit: int = BATCH_CHARS) -> DataFrame:
     """``mapInArrow`` with ``fn(batch) -> dict | RecordBatch | None``, by bounded batches.
 
     A dict holds the columns of ``schema`` by name. ``text`` names the column
-    whose bytes bound a batch. ``done`` is called at the end of each task, to
-    free what ``fn`` keeps between batches.
+    whose bytes bound a batch.
     """
     target, arrow = arrow_schema(df.sparkSession, schema)
 
     def run(batches):
-        try:
-            for whole in batches:
-                for batch in slices(whole, text, limit) if text else [whole]:
-                    out = fn(batch)
-                    if out is None:
-                        continue
-                    if isinstance(out, dict):
-                        cols = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for f, c in ((f, out[f.name]) for f in arrow)]
-                        out = pa.RecordBatch.from_arrays(cols, schema=arrow)
-                    yield out
-        finally:
-            if done:
-                done()
+        for whole in batches:
+            for batch in slices(whole, text, limit) if text else [whole]:
+                out = fn(batch)
+                if out is None:
+                    continue
+                if isinstance(out, dict):
+                    cols = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for f, c in ((f, out[f.name]) for f in arrow)]
+                    out = pa.RecordBatch.from_arrays(cols, schema=arrow)
+                yield out
 
     return df.mapInArrow(run, target)
 

@@ -34,7 +34,8 @@ CAPACITY = 2048
 END = 0
 #: Pieces of one length that are ranked in one group, about.
 RANKED = 50_000
-CACHE_CHUNKS = 1_000_000
+#: Chunks that a worker keeps from task to task; it lives on, and shares the executor's memory with others.
+CACHE_CHUNKS = 600_000
 Pattern = tuple[int, ...]
 
 
@@ -260,11 +261,6 @@ def encode_chunks(chunks: list[str], odd: list[int], path: str, out: Ragged) ->
 _CACHE: dict[str, tuple[Chunks, Ragged]] = {}
 
 
-def _forget() -> None:
-    """Free the chunks at the end of a task: workers live on, and idle ones share the executor's memory."""
-    _CACHE.clear()
-
-
 def token_ids(texts: list[str | None], path: str) -> list[np.ndarray]:
     """Ids of each text; those of chunks are kept, a bounded number of them."""
     import os
@@ -296,7 +292,7 @@ def pieces(df: DataFrame, path: str, capacity: int, text: str, id_col: str) -> D
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
         return {id_col: batch.column(0).take(take)} | dict(zip(("piece", "start", "length", "ids_crc32"), map(list, cols), strict=True))
 
-    return map_arrow(df.select(id_col, text), run, f"{id_col} {dict(df.dtypes)[id_col]}, {PIECES}", text, 2 << 20, _forget)
+    return map_arrow(df.select(id_col, text), run, f"{id_col} {dict(df.dtypes)[id_col]}, {PIECES}", text, 2 << 20)
 
 
 def op6_pack(df: DataFrame, path: str | None = None, capacity: int = CAPACITY, text: str = "text", id_col: str = "doc_id") -> DataFrame:
