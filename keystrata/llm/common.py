@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of the longest batch that one Arrow step holds, about.
-BATCH_CHARS = 8 << 20
+BATCH_CHARS = 4 << 20
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -35,7 +35,7 @@ END = 0
 #: Pieces of one length that are ranked in one group, about.
 RANKED = 50_000
 #: Chunks that a worker keeps from task to task; it lives on, and shares the executor's memory with others.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 800_000
 Pattern = tuple[int, ...]
 
 
@@ -261,8 +261,8 @@ def encode_chunks(chunks: list[str], odd: list[int], path: str, out: Ragged) ->
 _CACHE: dict[str, tuple[Chunks, Ragged]] = {}
 
 
-def token_ids(texts: list[str | None], path: str) -> list[np.ndarray]:
-    """Ids of each text; those of chunks are kept, a bounded number of them."""
+def token_ids(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in one array, and the number of each; those of chunks are kept, a bounded number of them."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -272,7 +272,11 @@ def token_ids(texts: list[str | None], path: str) -> list[np.ndarray]:
         _CACHE[path] = chunks, ids = chunks, Ragged(np.uint32)
     parts = [chunks.split(t) if t else np.zeros(0, np.int64) for t in texts]
     encode_chunks(*chunks.drain_with_odd(), path, ids)
-    return [ids.gather(p) for p in parts]
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    ends = np.cumsum(ids.lengths[flat])
+    last = np.cumsum([len(p) for p in parts]) - 1
+    counts = np.diff(np.where(last >= 0, ends[last] if len(ends) else 0, 0), prepend=0)
+    return ids.gather(flat), counts
 
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
@@ -280,15 +284,16 @@ PIECES = "piece int, start long, length long, ids_crc32 long"
 
 def pieces(df: DataFrame, path: str, capacity: int, text: str, id_col: str) -> DataFrame:
     def run(batch):
-        rows, take = [], []
-        for k, ids in enumerate(token_ids(batch.column(1).to_pylist(), path)):
-            ids = np.append(ids, np.uint32(END)).astype("<u4")
-            n = len(ids)
+        rows, take, at = [], [], 0
+        flat, counts = token_ids(batch.column(1).to_pylist(), path)
+        data, end = memoryview(flat.astype("<u4", copy=False)).cast("B"), np.array([END], "<u4").tobytes()
+        for k, n in enumerate((counts + 1).tolist()):
             cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
-            data = ids.tobytes()
             for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                rows.append((p, a, b - a, zlib.crc32(data[4 * a : 4 * b])))
+                crc = zlib.crc32(data[4 * (at + a) : 4 * (at + min(b, n - 1))])
+                rows.append((p, a, b - a, zlib.crc32(end, crc) if b == n else crc))
                 take.append(k)
+            at += n - 1
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
         return {id_col: batch.column(0).take(take)} | dict(zip(("piece", "start", "length", "ids_crc32"), map(list, cols), strict=True))
 
