@@ -302,7 +302,8 @@ def blocks(df: DataFrame, pattern: str, path: str, listed: Listed) -> DataFrame:
         at[new] = len(listed) + before + np.arange(len(new))
         place = state[3] = np.concatenate([place, at])
         words = [words[k] for k in new.tolist()]
-        index = [place[of_chunk.gather(p)] for p in parts]
+        flat = np.concatenate(parts)
+        index, sizes = place[of_chunk.gather(flat)], of_chunk.sums(flat, parts)
         ranks, longs = None, []
         for k, w in enumerate(words):
             if len(w) > LONG:
@@ -311,8 +312,8 @@ def blocks(df: DataFrame, pattern: str, path: str, listed: Listed) -> DataFrame:
                 words[k] = b""
         cols = {
             "keys": pa.ListArray.from_arrays(pa.array([0, len(batch)], pa.int32()), batch.column(0)),
-            "sizes": [[len(i) for i in index]],
-            "index": [b"".join(i.tobytes() for i in index)],
+            "sizes": [sizes.tolist()],
+            "index": [index.tobytes()],
             "before": [before],
             "words": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), byte_lists(words)),
             "longs": [longs],
@@ -324,6 +325,14 @@ def blocks(df: DataFrame, pattern: str, path: str, listed: Listed) -> DataFrame:
     return df.mapInArrow(run, target)
 
 
+def _digests(flat: np.ndarray, lengths: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """Items and SHA-256 of each text, whose words end at ``cuts``."""
+    ends = np.append(0, np.cumsum(lengths))[cuts]
+    starts, data = np.append(0, ends[:-1]), memoryview(flat).cast("B")
+    each = flat.itemsize
+    return ends - starts, [hashlib.sha256(data[each * a : each * b]).hexdigest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
 def op2_bpe(df: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text", id_col: str = "doc_id", listed: int = LISTED) -> DataFrame:
     """``id_col, n_tokens, ids_sha256, decoded_sha256`` for every text."""
     import public_tokenizers
@@ -354,15 +363,10 @@ def op2_bpe(df: DataFrame, path: str | None = None, pattern: str | None = None,
                 for x, p in zip(longs.as_py(), long_pieces.as_py(), strict=True):
                     of_word.put(first + x["word"], x["ids"])
                     of_bytes.put(first + x["word"], np.frombuffer(p, np.uint8))
-                index, at = np.frombuffer(index.as_py(), np.int32), 0
-                n, ids_sha, sha = [], [], []
-                for size in sizes.as_py():
-                    words = index[at : at + size]
-                    at += size
-                    tokens = of_word.gather(words)
-                    n.append(len(tokens))
-                    ids_sha.append(hashlib.sha256(tokens.astype("<u4", copy=False)).hexdigest())
-                    sha.append(hashlib.sha256(of_bytes.gather(words)).hexdigest())
+                index = np.frombuffer(index.as_py(), np.int32)
+                cuts = np.cumsum(sizes.as_py())
+                n, ids_sha = _digests(of_word.gather(index).astype("<u4", copy=False), of_word.lengths[index], cuts)
+                _, sha = _digests(of_bytes.gather(index), of_bytes.lengths[index], cuts)
                 yield pa.RecordBatch.from_arrays([keys.values, pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(sha)], schema=arrow)
 
     return found.mapInArrow(run, target)

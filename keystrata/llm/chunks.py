@@ -112,6 +112,11 @@ class Ragged:
         self.starts[at], self.lengths[at] = self.used, len(values)
         self.used += len(values)
 
+    def sums(self, index: np.ndarray, parts: list) -> np.ndarray:
+        """Items of each part of ``index``, which is the parts joined."""
+        ends = np.append(0, np.cumsum(self.lengths[index]))[np.cumsum([0, *map(len, parts)])]
+        return np.diff(ends)
+
     def gather(self, index: np.ndarray) -> np.ndarray:
         lengths = self.lengths[index]
         total = int(lengths.sum())

@@ -273,10 +273,7 @@ def token_ids(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarra
     parts = [chunks.split(t) if t else np.zeros(0, np.int64) for t in texts]
     encode_chunks(*chunks.drain_with_odd(), path, ids)
     flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    ends = np.cumsum(ids.lengths[flat])
-    last = np.cumsum([len(p) for p in parts]) - 1
-    counts = np.diff(np.where(last >= 0, ends[last] if len(ends) else 0, 0), prepend=0)
-    return ids.gather(flat), counts
+    return ids.gather(flat), ids.sums(flat, parts)
 
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
