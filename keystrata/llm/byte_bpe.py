@@ -38,7 +38,7 @@ from .common import arrow_schema, discard, persist, slices
 
 LONG = 512
 BLOCK_CHARS = 2 << 20
-LISTED, LISTED_BYTES, HELD = 700_000, 64, 400_000
+LISTED, LISTED_BYTES, HELD = 700_000, 64, 350_000
 NO_PAIR = 65536
 
 
@@ -325,6 +325,16 @@ def blocks(df: DataFrame, pattern: str, path: str, listed: Listed) -> DataFrame:
     return df.mapInArrow(run, target)
 
 
+def _parts(index: np.ndarray, cuts: np.ndarray, limit: int):
+    """The words of some texts at a time, about ``limit``, and where the texts end among them."""
+    first = done = 0
+    for last in [*(np.flatnonzero(np.diff(cuts // limit)) + 1).tolist(), len(cuts)]:
+        if last > first:
+            part = cuts[first:last]
+            yield index[done : part[-1]], part - done
+            first, done = last, int(part[-1])
+
+
 def _digests(flat: np.ndarray, lengths: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, list[str]]:
     """Items and SHA-256 of each text, whose words end at ``cuts``."""
     ends = np.append(0, np.cumsum(lengths))[cuts]
@@ -365,8 +375,12 @@ def op2_bpe(df: DataFrame, path: str | None = None, pattern: str | None = None,
                     of_bytes.put(first + x["word"], np.frombuffer(p, np.uint8))
                 index = np.frombuffer(index.as_py(), np.int32)
                 cuts = np.cumsum(sizes.as_py())
-                n, ids_sha = _digests(of_word.gather(index).astype("<u4", copy=False), of_word.lengths[index], cuts)
-                _, sha = _digests(of_bytes.gather(index), of_bytes.lengths[index], cuts)
+                n, ids_sha, sha = [], [], []
+                for words, part in _parts(index, cuts, 1 << 15):
+                    count, digests = _digests(of_word.gather(words).astype("<u4", copy=False), of_word.lengths[words], part)
+                    n += count.tolist()
+                    ids_sha += digests
+                    sha += _digests(of_bytes.gather(words), of_bytes.lengths[words], part)[1]
                 yield pa.RecordBatch.from_arrays([keys.values, pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(sha)], schema=arrow)
 
     return found.mapInArrow(run, target)
