@@ -38,7 +38,7 @@ from .common import arrow_schema, discard, persist, slices
 
 LONG = 512
 BLOCK_CHARS = 2 << 20
-LISTED, LISTED_BYTES, HELD = 500_000, 64, 250_000
+LISTED, LISTED_BYTES, HELD = 200_000, 64, 250_000
 NO_PAIR = 65536
 
 
