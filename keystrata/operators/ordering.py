@@ -45,11 +45,13 @@ def within(*order) -> "Window":
     return Window.partitionBy(RANGE).orderBy(*order)
 
 
-def before(rows: DataFrame, size: Column) -> DataFrame:
-    """``_p, _before``: the sum of ``size`` over all earlier ranges; one row a range."""
-    totals = rows.groupBy(RANGE).agg(F.sum(size).alias("_total"))
-    earlier = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(RANGE, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).cast("bigint").alias("_before"))
+def before(rows: DataFrame, size: Column) -> Column:
+    """The sum of ``size`` over all ranges before a row's own; one row a range comes to the driver."""
+    totals = {r[0]: r[1] or 0 for r in rows.groupBy(RANGE).agg(F.sum(size)).collect()}
+    out = [0]
+    for p in range(max(totals, default=0)):
+        out.append(out[-1] + totals.get(p, 0))
+    return F.get(F.array(*(F.lit(n).cast("bigint") for n in out)), F.col(RANGE))
 
 
 def numbered(df: DataFrame, key: str = "key") -> DataFrame:

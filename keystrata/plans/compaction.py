@@ -75,5 +75,5 @@ def split_runs(rows: DataFrame, target_bytes: int) -> DataFrame:
     size = (F.length("key") + F.coalesce(F.length("value"), F.lit(0)) + 8).cast("bigint")
     rows = with_ranges(rows.withColumn("_size", size))
     earlier = within("key").rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn("_run", F.coalesce(F.sum("_size").over(earlier), F.lit(0))).join(F.broadcast(before(rows, F.col("_size"))), RANGE)
+    out = rows.withColumn("_run", F.coalesce(F.sum("_size").over(earlier), F.lit(0))).withColumn("_before", before(rows, F.col("_size")))
     return out.withColumn("part", F.expr(f"(_before + _run) div {target_bytes}")).drop("_size", RANGE, "_run", "_before")
