@@ -47,8 +47,8 @@ def batches(spark: SparkSession, d: str) -> list[DataFrame]:
 
 
 def loaded(spark: SparkSession, d: str, flushes: int = 3, **options) -> Keyspace:
-    """Three batches, of which the first ``flushes`` became runs."""
-    ks = Keyspace(spark, Config(scratch(spark, "keyspace"), auto_compact=False, **options))
+    """Three batches, of which exactly the first ``flushes`` became runs: no batch is flushed for its size."""
+    ks = Keyspace(spark, Config(scratch(spark, "keyspace"), auto_compact=False, memtable_bytes=1 << 62, **options))
     for k, part in enumerate(batches(spark, d)):
         ks.write_batch(part, order_by="seq")
         if k < flushes:

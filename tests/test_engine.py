@@ -363,3 +363,12 @@ def test_late_events(spark, tmp_path):
     source = spark.readStream.schema("ts timestamp, key string").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = ingest.run_to_table(ingest.windows(source, "1 hour", late="1 hour"), str(tmp_path / "out"), str(tmp_path / "check"), "append")
     assert sorted((str(r.start)[11:13], r.n) for r in got.collect()) == [("00", 1), ("05", 1), ("08", 1)]
+
+
+def test_staged_batches_of_any_size_stay_staged(spark, tmp_path):
+    from keystrata import catalog, catalog_keyspace  # noqa: F401  (adds its queries)
+
+    kind = "e" * (2 << 20)  # three batches of 4 MB, which is what a keyspace stages by default
+    spark.createDataFrame([(i, i, kind) for i in range(6)], "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    r = catalog.QUERIES["ks_staged"](spark, str(tmp_path)).first()
+    assert r.asDict() == {"n_rows": 6, "bytes": 6 * (8 + len(kind)), "was_empty": False, "is_empty": True, "left_over": 0}
