@@ -66,11 +66,18 @@ def prefix_end(prefix: bytes) -> bytes | None:
     return cut[:-1] + bytes([cut[-1] + 1]) if cut else None
 
 
-def prefix_scan(log: DataFrame, prefix: bytes | str, limit: int | None = None) -> DataFrame:
-    """Live rows whose key starts with ``prefix``, in key order."""
+def prefix_scan(log: DataFrame, prefix: bytes | str, limit: int | None = None, every: bool = False) -> DataFrame:
+    """Live rows whose key starts with ``prefix``, in key order.
+
+    With ``every`` no put hides another: the log is a table in which keys repeat.
+    """
     if isinstance(prefix, bytes):
-        return range_scan(log, bytearray(prefix), None if (end := prefix_end(prefix)) is None else bytearray(end), limit=limit)
-    rows = live(log.where(F.col("key").startswith(prefix))).select("key", "value").orderBy("key")
+        inside = bounds(bytearray(prefix), None if (end := prefix_end(prefix)) is None else bytearray(end))
+    else:
+        inside = F.col("key").startswith(prefix)
+    rows = log.where(inside)
+    rows = rows.where(F.col("op") == PUT).orderBy("key", "seq") if every else live(rows).orderBy("key")
+    rows = rows.select("key", "value")
     return rows if limit is None else rows.limit(limit)
 
 

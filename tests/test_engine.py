@@ -372,3 +372,15 @@ def test_staged_batches_of_any_size_stay_staged(spark, tmp_path):
     spark.createDataFrame([(i, i, kind) for i in range(6)], "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     r = catalog.QUERIES["ks_staged"](spark, str(tmp_path)).first()
     assert r.asDict() == {"n_rows": 6, "bytes": 6 * (8 + len(kind)), "was_empty": False, "is_empty": True, "left_over": 0}
+
+
+def test_pages_that_share_a_url(spark, tmp_path):
+    from keystrata import catalog
+
+    pages = [(1, "https://blog.x/a"), (2, "https://blog.x/b"), (3, "https://blog.x/a"), (4, "https://shop.x/a"), (5, None)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [tuple(r) for r in catalog.QUERIES["kv_prefix"](spark, str(tmp_path)).collect()]
+    assert got == [("https://blog.x/a", 1), ("https://blog.x/a", 3), ("https://blog.x/b", 2)]
+    rows = [(b"\xffa", b"1", "P", 1), (b"\xffa", b"2", "P", 2), (b"\xffb", None, "D", 3), (b"b", b"4", "P", 4)]
+    assert [bytes(r.value) for r in view.prefix_scan(log(spark, rows), b"\xff", every=True).collect()] == [b"1", b"2"]
+    assert [bytes(r.value) for r in view.prefix_scan(log(spark, rows), b"\xff").collect()] == [b"2"]
