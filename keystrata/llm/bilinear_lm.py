@@ -30,6 +30,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -83,20 +84,13 @@ class Lexicon:
 
     def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, Counter]:
         """Symbols, numbers in the list (-1: not there), and the words not there."""
-        got = list(map(self.of.get, words))
-        rest: Counter = Counter()
-        late = []
-        if None in got:
-            for i, k in enumerate(got):
-                if k is None:
-                    got[i] = -1
-                    rest[words[i]] += 1
-                    late.append((i, self.model + 1 + bucket(words[i])))
-        index = np.array(got, np.int32)
+        index = np.fromiter(map(self.of.get, words, repeat(-1)), np.int32, len(words))
         symbols = self.symbol[index]
-        for i, s in late:
-            symbols[i] = s
-        return symbols, index, rest
+        at = np.flatnonzero(index < 0)
+        late = [words[i] for i in at.tolist()]
+        if late:
+            symbols[at] = [self.model + 1 + bucket(w) for w in late]
+        return symbols, index, Counter(late)
 
     def contexts(self, symbols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Targets of all texts in one array, and the symbols one and two places before; ``size`` is the start."""
@@ -204,8 +198,11 @@ class Model:
         """The parameters in single precision, with contexts already transformed by position."""
         r, m = self.params["r"][:, :-1], self.params["m"][:, :-1]
         out = {"one": r @ m[:DIMENSIONS], "two": r @ m[DIMENSIONS:]}
+        # contexts end in halves, so that a prediction ends in 1, which meets the bias
+        for k in ("one", "two"):
+            out[k] = np.column_stack([out[k], np.full(len(r), 0.5)])
         for k in "tc":
-            out[k], out[k + "b"] = np.ascontiguousarray(self.params[k][:, :-1].T), self.params[k][:, -1]
+            out[k] = np.ascontiguousarray(self.params[k].T)
         return {k: v.astype(np.float32) for k, v in out.items()}
 
     def log_probs(self, targets: np.ndarray, before: np.ndarray, p: dict[str, np.ndarray] | None = None) -> np.ndarray:
@@ -220,7 +217,7 @@ class Model:
         out = np.empty(len(targets), np.float32)
         kind, place = self.of[targets], self.place[targets]
         for at in range(0, len(q), 4096):
-            out[at : at + 4096] = _log_softmax(q[at : at + 4096] @ p["c"], p["cb"], kind[at : at + 4096])
+            out[at : at + 4096] = _log_softmax(q[at : at + 4096] @ p["c"], kind[at : at + 4096])
         order = np.argsort(kind.astype(np.int16 if len(self.first) < 32_000 else np.int32), kind="stable")
         cut = np.searchsorted(kind[order], np.arange(self.words + 1))
         q, place, inner = q[order], place[order], np.zeros(len(q), np.float32)
@@ -229,13 +226,12 @@ class Model:
             step = max(64, (1 << 20) // (b - a))
             for at in range(cut[k], cut[k + 1], step) if b - a > 1 else ():
                 rows = slice(at, min(at + step, cut[k + 1]))
-                inner[rows] = _log_softmax(q[rows] @ p["t"][:, a:b], p["tb"][a:b], place[rows] - a)
+                inner[rows] = _log_softmax(q[rows] @ p["t"][:, a:b], place[rows] - a)
         out[order] += inner
         return out.astype(np.float64)
 
 
-def _log_softmax(s: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
-    s += bias
+def _log_softmax(s: np.ndarray, at: np.ndarray) -> np.ndarray:
     own = s[np.arange(len(s)), at]
     top = float(s.max())
     if top > 60 or float(own.min()) < -60:  # beyond what single precision takes
@@ -256,49 +252,58 @@ class Trainer:
         self.base = {k: np.log(NOISE * v).astype(np.float32) for k, v in model.noise.items()}
 
     def _head(self, name: str, rows: np.ndarray, q: np.ndarray, back: np.ndarray) -> None:
-        """Contrast the true rows of an output with sampled noise; adds to the gradient of the prediction."""
+        """Contrast the true rows of an output with sampled noise; adds to the gradient of the prediction.
+
+        The last column of ``q`` is 1 and meets the bias.
+        """
         p, cdf, base = self.p[name], self.cdf[name], self.base[name]
         noise = np.minimum(np.searchsorted(cdf, self.rng.random(NOISE) * cdf[-1]), len(cdf) - 1)
         w, n = p[rows], p[noise]
         # how far the true word and the noise are from what they are, by the model
-        true = _sigmoid(base[rows] - w[:, -1] - np.einsum("ij,ij->i", q, w[:, :-1]))
-        false = _sigmoid(q @ n[:, :-1].T + (n[:, -1] - base[noise]))
-        back += true[:, None] * w[:, :-1]
-        back -= false @ n[:, :-1]
+        true = _inverse(np.einsum("ij,ij->i", q, w) - base[rows])[:, None]
+        false = q @ -n.T
+        false += base[noise]
+        _inverse(false)
+        w *= true
+        back += w
+        back -= false @ n
         grad = np.empty((len(rows) + NOISE, DIMENSIONS + 1), np.float32)
-        np.multiply(true[:, None], q, out=grad[: len(rows), :-1])
-        grad[: len(rows), -1] = true
-        grad[len(rows) :, :-1] = -(false.T @ q)
-        grad[len(rows) :, -1] = -false.sum(0)
+        np.multiply(true, q, out=grad[: len(rows)])
+        np.negative(false.T @ q, out=grad[len(rows) :])
         self._update(name, np.concatenate([rows, noise]), grad)
         self.met[name] += np.bincount(rows, minlength=len(p))
 
     def step(self, targets: np.ndarray, before: np.ndarray) -> None:
-        p, d = self.p, DIMENSIONS
-        x = [p["r"][before[k], :-1] for k in range(2)]
-        q = x[0] @ p["m"][:d, :-1] + x[1] @ p["m"][d:, :-1]
+        d, n, m = DIMENSIONS, len(targets), self.p["m"]
+        both = before.ravel()
+        x = self.p["r"][both, :-1]
+        q = x[:n] @ m[:d] + x[n:] @ m[d:]
+        q[:, -1] = 1
         back = np.zeros_like(q)
         self._head("t", self.model.place[targets], q, back)
         self._head("c", self.model.of[targets], q, back)
-        grad = np.zeros((2 * len(q), d + 1), np.float32)
-        for k in range(2):
-            grad[k * len(q) : (k + 1) * len(q), :-1] = back @ p["m"][k * d : (k + 1) * d, :-1].T
-        both = before.ravel()
+        back[:, -1] = 0
+        grad = np.zeros((2 * n, d + 1), np.float32)
+        grad[:n, :-1] = back @ m[:d].T
+        grad[n:, :-1] = back @ m[d:].T
         self._update("r", both, grad)
-        self.met["r"] += np.bincount(both, minlength=len(p["r"]))
-        for k in range(2):
-            self._apply("m", np.arange(k * d, (k + 1) * d), np.column_stack([x[k].T @ back, np.zeros(d, np.float32)]))
-        self.met["m"] += len(targets)
+        self.met["r"] += np.bincount(both, minlength=len(self.p["r"]))
+        self._apply("m", np.arange(2 * d), np.concatenate([x[:n].T @ back, x[n:].T @ back]))
+        self.met["m"] += n
 
     def _update(self, name: str, rows: np.ndarray, grad: np.ndarray) -> None:
-        order = np.argsort(rows)
+        order = np.argsort(rows.astype(np.uint16) if len(self.p[name]) <= 65536 else rows, kind="stable")
         rows = rows[order]
         first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
         self._apply(name, rows[first], np.add.reduceat(grad[order], first, axis=0))
 
     def _apply(self, name: str, rows: np.ndarray, grad: np.ndarray) -> None:
-        self.sums[name][rows] += grad * grad
-        self.p[name][rows] += RATE * grad / np.sqrt(self.sums[name][rows])
+        sums = self.sums[name][rows]
+        sums += grad * grad
+        self.sums[name][rows] = sums
+        grad *= RATE
+        grad /= np.sqrt(sums, out=sums)
+        self.p[name][rows] += grad
 
     def changes(self):
         """``name, row, met`` and what to add to the row, times ``met``."""
@@ -307,8 +312,8 @@ class Trainer:
             yield name, rows, met[rows], (self.p[name][rows] - self.model.params[name][rows]) * met[rows, None]
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
+def _inverse(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + e ** x), in place."""
     np.exp(np.minimum(x, 80, out=x), out=x)
     x += 1
     return np.reciprocal(x, out=x)
