@@ -36,6 +36,8 @@ from .words import grouped
 
 EDITS, MIN_CHARS, FEW, BLOCK = 2, 24, 64, 256
 BITMAP_WORDS = 1 << 17
+#: Candidate pairs that are made at once.
+PAIRS = 1 << 18
 
 
 # -- edit distance -----------------------------------------------------------
@@ -205,23 +207,19 @@ def _meet(entries: DataFrame, few: int) -> DataFrame:
         cut = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)) if len(key) else np.zeros(1, np.int64)
         size = np.diff(cut)
         some = np.flatnonzero(size > 1)
-        out: dict[str, list] = {"a": [], "b": [], "key": []}
         for s in np.unique(size[some]):
             at = cut[:-1][some[size[some] == s]]
             if s > few:
                 rows = (at[:, None] + np.arange(s)).ravel()
-                out["a"].append(line[rows])
-                out["b"].append(None)
-                out["key"].append(key[rows])
+                yield pa.RecordBatch.from_arrays([pa.array(line[rows]), pa.nulls(len(rows), pa.int64()), pa.array(key[rows])], names=["a", "b", "key"])
                 continue
             i, j = np.triu_indices(s, 1)
-            x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-            ok = indexed[x] | indexed[y]
-            out["a"].append(line[x[ok]])
-            out["b"].append(line[y[ok]])
-            out["key"].append(key[x[ok]])
-        for a, b, k in zip(*out.values(), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b), pa.array(k)], names=["a", "b", "key"])
+            step = max(1, PAIRS // len(i))
+            for k in range(0, len(at), step):
+                x, y = (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()
+                ok = indexed[x] | indexed[y]
+                x, y = x[ok], y[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(line[x]), pa.array(line[y]), pa.array(key[x])], names=["a", "b", "key"])
 
     def run(batches):
         held: list[tuple] = []
@@ -356,7 +354,7 @@ def _cls(text):
 def line_dedup(df: DataFrame, text: str = "text", id_col: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS, few: int = FEW, block: int = BLOCK, digest: bool = False) -> DataFrame:
     """The table without the lines that repeat, or with ``digest`` the digest columns."""
     gone = removed_lines(df, text, id_col, edits, min_chars, few, block)
-    keep = [F.col(id_col)] if digest else [F.col(c) for c in df.columns]
+    keep = [F.col(id_col)] if digest else [F.col(c) for c in df.columns if c != text]  # texts travel once, not in the row as well
     src = df.select(F.struct(*keep).alias("_row"), F.col(text).alias("_text"), F.col(id_col).cast("long").alias("id"), _cls(F.col(text)).alias("cls"))
     src = src.join(gone, ["id", "cls"], "left").select("_row", "_text", "lines")
 

@@ -358,6 +358,16 @@ def test_short_lines(spark, few):
     assert got == sorted(expected, key=repr)
 
 
+def test_texts_travel_once(spark, monkeypatch):
+    seen, whole = [], line_dedup.map_arrow
+    monkeypatch.setattr(line_dedup, "map_arrow", lambda df, *a, **k: seen.append(df.schema) or whole(df, *a, **k))
+    line = "a line of more than twenty-four characters"
+    df = spark.createDataFrame([("x", 1, line + "\nanother", 0), ("y", 2, "first\n" + line, 1)], "source string, doc_id long, text string, n long")
+    out = line_dedup.line_dedup(df)
+    assert seen[-1]["_row"].dataType.names == ["source", "doc_id", "n"]
+    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == [("x", 1, line + "\nanother", 0), ("y", 2, "first", 1)]
+
+
 @pytest.mark.parametrize("block", [None, 60, 9])
 def test_embeddings(spark, block):
     r = np.random.default_rng(0)
