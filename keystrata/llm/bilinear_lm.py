@@ -212,15 +212,15 @@ class Model:
         two matrix products: with all classes, and with its class's symbols.
         """
         p = p or self.single()
-        q = p["one"][before[0]]
-        q += p["two"][before[1]]
+        q = p["one"].take(before[0], axis=0)
+        q += p["two"].take(before[1], axis=0)
         out = np.empty(len(targets), np.float32)
         kind, place = self.of[targets], self.place[targets]
         for at in range(0, len(q), 4096):
             out[at : at + 4096] = _log_softmax(q[at : at + 4096] @ p["c"], kind[at : at + 4096])
         order = np.argsort(kind.astype(np.int16 if len(self.first) < 32_000 else np.int32), kind="stable")
         cut = np.searchsorted(kind[order], np.arange(self.words + 1))
-        q, place, inner = q[order], place[order], np.zeros(len(q), np.float32)
+        q, place, inner = q.take(order, axis=0), place[order], np.zeros(len(q), np.float32)
         for k in np.flatnonzero(np.diff(cut)).tolist():
             a, b = self.first[k], self.first[k + 1]
             step = max(64, (1 << 20) // (b - a))
@@ -258,7 +258,7 @@ class Trainer:
         """
         p, cdf, base = self.p[name], self.cdf[name], self.base[name]
         noise = np.minimum(np.searchsorted(cdf, self.rng.random(NOISE) * cdf[-1]), len(cdf) - 1)
-        w, n = p[rows], p[noise]
+        w, n = p.take(rows, axis=0), p.take(noise, axis=0)
         # how far the true word and the noise are from what they are, by the model
         true = _inverse(np.einsum("ij,ij->i", q, w) - base[rows])[:, None]
         false = q @ -n.T
@@ -276,7 +276,7 @@ class Trainer:
     def step(self, targets: np.ndarray, before: np.ndarray) -> None:
         d, n, m = DIMENSIONS, len(targets), self.p["m"]
         both = before.ravel()
-        x = self.p["r"][both, :-1]
+        x = self.p["r"].take(both, axis=0)[:, :-1]
         q = x[:n] @ m[:d] + x[n:] @ m[d:]
         q[:, -1] = 1
         back = np.zeros_like(q)
@@ -295,15 +295,16 @@ class Trainer:
         order = np.argsort(rows.astype(np.uint16) if len(self.p[name]) <= 65536 else rows, kind="stable")
         rows = rows[order]
         first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        self._apply(name, rows[first], np.add.reduceat(grad[order], first, axis=0))
+        self._apply(name, rows[first], np.add.reduceat(grad.take(order, axis=0), first, axis=0))
 
     def _apply(self, name: str, rows: np.ndarray, grad: np.ndarray) -> None:
-        sums = self.sums[name][rows]
+        sums = self.sums[name].take(rows, axis=0)
         sums += grad * grad
         self.sums[name][rows] = sums
         grad *= RATE
         grad /= np.sqrt(sums, out=sums)
-        self.p[name][rows] += grad
+        grad += self.p[name].take(rows, axis=0)
+        self.p[name][rows] = grad
 
     def changes(self):
         """``name, row, met`` and what to add to the row, times ``met``."""
@@ -331,7 +332,7 @@ def train_round(read: DataFrame, lexicon: Lexicon, model: Model, seed: int) -> N
                 order = rng.permutation(len(targets))
                 for at in range(0, len(order), BATCH):
                     some = order[at : at + BATCH]
-                    trainer.step(targets[some], before[:, some])
+                    trainer.step(targets[some], before.take(some, axis=1))
         for name, rows, met, add in trainer.changes():
             cols = [pa.array(np.full(len(rows), names.index(name), np.int32)), pa.array(rows.astype(np.int64)), pa.array(met), *(pa.array(add[:, k].astype(np.float64)) for k in range(width))]
             yield pa.RecordBatch.from_arrays(cols, schema=arrow)

@@ -557,6 +557,26 @@ def test_lm_takes_every_token_once_at_any_size(spark):
     assert all(np.array_equal(got[0][k], got[1][k]) for k in got[0])
 
 
+class _Rows(np.ndarray):
+    """An array that refuses to be read by an array of row numbers, which costs more than ``take``."""
+
+    def __getitem__(self, key):
+        assert not any(isinstance(k, np.ndarray) for k in (key if isinstance(key, tuple) else (key,)))
+        return np.asarray(self)[key]
+
+
+def test_lm_takes_rows_in_training():
+    rng = np.random.default_rng(1)
+    model = bilinear_lm.Model(rng.integers(1, 100, 500 + bilinear_lm.BUCKETS).astype(float))
+    plain, guarded = bilinear_lm.Trainer(model, 3), bilinear_lm.Trainer(model, 3)
+    guarded.p, guarded.sums = ({k: v.view(_Rows) for k, v in x.items()} for x in (guarded.p, guarded.sums))
+    for _ in range(3):
+        targets, before = rng.integers(0, 500, 256), rng.integers(0, 500, (2, 256))
+        plain.step(targets, before)
+        guarded.step(targets, before)
+    assert all(np.array_equal(plain.p[k], np.asarray(guarded.p[k])) for k in plain.p)
+
+
 def test_pipeline(spark, docs, rows):
     out = docs.select("doc_id", "text", "lang")
     kept = []
