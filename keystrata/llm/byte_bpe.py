@@ -40,6 +40,7 @@ LONG = 512
 BLOCK_CHARS = 2 << 20
 LISTED, LISTED_BYTES, HELD = 200_000, 64, 250_000
 NO_PAIR = 65536
+FRONT = NO_PAIR << 32 | 0xFFFF  # before the first token: merges with nothing
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -106,18 +107,19 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def encode_words(words: Column, path: str) -> Column:
-    """Token ids of each word; ``words`` is an array of arrays of byte values.
-
-    The state is one number a token, after a null in front: the number that its
-    pair with the next token merges to (``NO_PAIR`` if none), its first byte's
-    place and its own number, 16 bits each of the latter two. The least of the
-    state is hence the leftmost pair of least rank, and a place never changes.
-    An entry of the table XOR the left number's bits is the merged number if the
-    pair is in the vocabulary and at least 65536 otherwise.
+def _fold(words: Column, path: str, begin: bool) -> Column:
+    """The states that ranked merges end with; ``begin``: words are byte values, and not states yet.
+
+    A state is one number a token, after ``FRONT``: the number that its pair with
+    the next token merges to (``NO_PAIR`` if none), its first byte's place and its
+    own number, 16 bits each of the latter two. The least of the state is hence
+    the leftmost pair of least rank, and a place never changes. An entry of the
+    table XOR the left number's bits is the merged number if the pair is in the
+    vocabulary and at least 65536 otherwise.
     """
     first, starts, table, _ = rank_table(path)
-    rest, low, high, none = F.lit(1 << 20), F.lit(0xFFFF).cast("bigint"), F.lit(1 << 32).cast("bigint"), F.lit(NO_PAIR).cast("bigint")
+    big = lambda n: F.lit(n).cast("bigint")
+    rest, low, middle, half, none = F.lit(1 << 20), big(0xFFFF), big(0xFFFF0000), big(0xFFFFFFFF), big(NO_PAIR)
 
     def fold(word: Column, starts: Column, table: Column) -> Column:
         def pair(left: Column, right: Column) -> Column:
@@ -126,27 +128,45 @@ def encode_words(words: Column, path: str) -> Column:
 
         def start(word: Column) -> Column:
             ids = F.transform(word, lambda b: F.get(_literal(first, "bigint"), b))
-            return _let(ids, lambda x: F.concat(F.array(F.lit(None).cast("bigint")), F.transform(x, lambda v, i: F.shiftleft(pair(v, F.get(x, i + 1)), 32) + F.shiftleft(i, 16) + v)))
+            return _let(ids, lambda x: F.concat(F.array(big(FRONT)), F.transform(x, lambda v, i: F.shiftleft(pair(v, F.get(x, i + 1)), 32) + F.shiftleft(i, 16) + v)))
 
         def step(state: Column, _: Column) -> Column:
             def merge(m: Column, i: Column) -> Column:
                 new, before = F.shiftright(m, 32), F.get(state, i - 2)
-                left = F.shiftleft(pair(before.bitwiseAND(low), new), 32) + F.pmod(before, high)
+                left = F.shiftleft(pair(before.bitwiseAND(low), new), 32) + before.bitwiseAND(half)
                 return F.concat(
                     F.slice(state, 1, i - 2),
-                    F.array(left, F.shiftleft(pair(new, F.get(state, i + 1).bitwiseAND(low)), 32) + (F.pmod(m, high) - m.bitwiseAND(low) + new)),
+                    F.array(left, F.shiftleft(pair(new, F.get(state, i + 1).bitwiseAND(low)), 32) + m.bitwiseAND(middle) + new),
                     F.slice(state, i + 2, rest),
                 )
 
             return _let(F.array_min(state), lambda m: F.when(m < NO_PAIR << 32, _let(F.array_position(state, m).cast("int"), lambda i: merge(m, i))).otherwise(state))
 
         # a word of n bytes takes n - 1 merges at most
-        return F.aggregate(F.slice(word, 2, rest), start(word), step, lambda s: F.transform(F.slice(s, 2, rest), lambda v: (v.bitwiseAND(low) - 1).cast("int")))
+        return _let(start(word), lambda s: F.aggregate(F.slice(s, 3, rest), s, step)) if begin else F.aggregate(F.slice(word, 3, rest), word, step)
 
     # the tables are bound once, so that a plan holds each of them once
     return _let(_literal(starts, "int"), lambda s: _let(_literal(table, "bigint"), lambda t: F.transform(words, lambda w: fold(w, s, t))))
 
 
+def encode_words(words: Column, path: str) -> Column:
+    """Token ids of each word; ``words`` is an array of arrays of byte values."""
+    ids = lambda s: F.transform(F.slice(s, 2, F.lit(1 << 20)), lambda v: (v.bitwiseAND(F.lit(0xFFFF).cast("bigint")) - 1).cast("int"))
+    return F.transform(_fold(words, path, True), ids)
+
+
+def encode_states(states: Column, path: str) -> Column:
+    """The states that states of :func:`first_states` end with; :func:`ids_of` reads them."""
+    return _fold(states, path, False)
+
+
+def decode_states(states: Column, path: str) -> Column:
+    """The bytes of all tokens of an array of states, joined; ``FRONT`` has no piece, and nulls are left out."""
+    pieces = _literal(("", *rank_table(path)[3]), "string")
+    number = lambda v: v.bitwiseAND(F.lit(0xFFFF).cast("bigint")).cast("int")
+    return F.unhex(F.array_join(F.transform(F.flatten(states), lambda v: F.get(pieces, number(v))), ""))
+
+
 def decode_ids(ids: Column, path: str) -> Column:
     """The bytes of an array of ids: their pieces, joined."""
     pieces = _literal(rank_table(path)[3], "string")
@@ -253,10 +273,32 @@ def frequent_words(df: DataFrame, text: str, path: str, listed: int) -> Listed:
     return Listed(cols[0].cast(pa.binary()), cols[1], cols[2])
 
 
-def byte_lists(words: list[bytes]) -> pa.ListArray:
+def byte_pairs(path: str) -> np.ndarray:
+    """What the states of two neighbouring bytes begin with: the merged number and the left one; of the last byte in column 256."""
+    first, starts, table, _ = (np.array(x) if k < 3 else x for k, x in enumerate(rank_table(path)))
+    merged = np.minimum((first << 16)[:, None] ^ table[starts[first][:, None] + first], NO_PAIR)
+    return (np.column_stack([merged, np.full(256, NO_PAIR)]) << 32) + first[:, None]
+
+
+def first_states(words: list[bytes], pairs: np.ndarray) -> pa.ListArray:
+    """The state of each word before its merges, by :func:`byte_pairs`."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    flat = np.frombuffer(b"".join(words), np.uint8).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat))
+    flat = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+    ends = np.cumsum(lengths)
+    right = np.append(flat[1:], 256)[: len(flat)]
+    right[ends[lengths > 0] - 1] = 256
+    states = pairs[flat, right] + (np.arange(len(flat)) - np.repeat(ends - lengths, lengths) << 16)
+    out = np.full(len(flat) + len(words), FRONT)
+    out[np.arange(len(flat)) + np.repeat(np.arange(1, len(words) + 1), lengths)] = states
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends + np.arange(1, len(words) + 1)).astype(np.int32)), pa.array(out))
+
+
+def ids_of(states: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of words by their last states, and how many each word has."""
+    flat, lengths = np.asarray(states.flatten()), np.asarray(states.value_lengths()).astype(np.int64)
+    token = np.ones(len(flat), bool)
+    token[np.cumsum(lengths) - lengths] = False
+    return ((flat[token] & 0xFFFF) - 1).astype(np.uint32), lengths - 1
 
 
 def blocks(df: DataFrame, pattern: str, path: str, listed: Listed) -> DataFrame:
@@ -266,7 +308,7 @@ def blocks(df: DataFrame, pattern: str, path: str, listed: Listed) -> DataFrame:
     ``before`` is how many of the latter earlier rows of the task hold; it is 0
     where numbering starts anew, which bounds the memory.
     """
-    column = df.columns[1]
+    column, pairs = df.columns[1], byte_pairs(path)
 
     def run(batches):
         import regex
@@ -282,20 +324,18 @@ def blocks(df: DataFrame, pattern: str, path: str, listed: Listed) -> DataFrame:
     def block(batch, find, state):
         chunks, numbers, of_chunk, place = state
         parts, words = [], []
-        for t in batch.column(1).to_pylist():
-            parts.append(chunks.split(t) if t else np.zeros(0, np.int64))
-            if chunks.texts:
-                found = []
-                for c in chunks.drain():
-                    row = []
-                    for w in find(c):
-                        k = numbers.get(w)
-                        if k is None:
-                            k = numbers[w] = len(numbers)
-                            words.append(w.encode())
-                        row.append(k)
-                    found.append(row)
-                of_chunk.extend(found)
+        parts.extend(chunks.split_all(batch.column(1)))
+        found = []
+        for c in chunks.drain():
+            row = []
+            for w in find(c):
+                k = numbers.get(w)
+                if k is None:
+                    k = numbers[w] = len(numbers)
+                    words.append(w.encode())
+                row.append(k)
+            found.append(row)
+        of_chunk.extend(found)
         at = listed.find(words)
         new = np.flatnonzero(at < 0)
         before = int((place >= len(listed)).sum())
@@ -315,12 +355,12 @@ def blocks(df: DataFrame, pattern: str, path: str, listed: Listed) -> DataFrame:
             "sizes": [sizes.tolist()],
             "index": [index.tobytes()],
             "before": [before],
-            "words": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), byte_lists(words)),
+            "words": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), first_states(words, pairs)),
             "longs": [longs],
         }
         return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for f, c in zip(arrow, cols.values(), strict=True)], schema=arrow)
 
-    kind = f"keys array<{df.dtypes[0][1]}>, sizes array<int>, index binary, before long, words array<array<int>>, longs array<struct<word:int,ids:array<int>>>"
+    kind = f"keys array<{df.dtypes[0][1]}>, sizes array<int>, index binary, before long, words array<array<bigint>>, longs array<struct<word:int,ids:array<int>>>"
     target, arrow = arrow_schema(df.sparkSession, kind)
     return df.mapInArrow(run, target)
 
@@ -350,16 +390,17 @@ def op2_bpe(df: DataFrame, path: str | None = None, pattern: str | None = None,
     path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
     top = frequent_words(df, text, path, listed)
     found = blocks(df.select(id_col, text), pattern, path, top)
-    found = found.select("keys", "sizes", "index", "before", encode_words(F.col("words"), path).alias("ids"), "longs")
-    found = found.select("*", F.transform("ids", lambda i: decode_ids(i, path)).alias("pieces"), F.transform("longs", lambda x: decode_ids(x["ids"], path)).alias("long_pieces"))
+    found = found.select("keys", "sizes", "index", "before", encode_states(F.col("words"), path).alias("states"), "longs")
+    found = found.select("*", decode_states(F.col("states"), path).alias("pieces"), F.transform("longs", lambda x: decode_ids(x["ids"], path)).alias("long_pieces"))
     kind = f"{id_col} {dict(df.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     target, arrow = arrow_schema(df.sparkSession, kind)
+    piece_bytes = np.array([len(p) // 2 for p in rank_table(path)[3]])
 
     def run(batches):
         of_word = of_bytes = None
         for batch in batches:
             for r in range(len(batch)):
-                keys, sizes, index, before, ids, longs, new, long_pieces = (batch.column(c)[r] for c in range(8))
+                keys, sizes, index, before, states, longs, pieces, long_pieces = (batch.column(c)[r] for c in range(8))
                 if before.as_py() == 0:
                     of_word, of_bytes = Ragged(np.uint32), Ragged(np.uint8)
                     of_word.extend_flat(top.ids, top.n_ids.astype(np.int64))
@@ -367,9 +408,10 @@ def op2_bpe(df: DataFrame, path: str | None = None, pattern: str | None = None,
                 first = of_word.n
                 if first != len(top) + before.as_py():
                     raise RuntimeError("a row refers to words that this task has not met")
-                of_word.extend_flat(np.asarray(ids.values.flatten()).astype(np.uint32), np.asarray(ids.values.value_lengths()).astype(np.int64))
-                pieces = new.values.to_pylist()
-                of_bytes.extend_flat(np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, len(pieces)))
+                ids, lengths = ids_of(states.values)
+                of_word.extend_flat(ids, lengths)
+                ends = np.append(0, np.cumsum(piece_bytes[ids]))[np.append(0, np.cumsum(lengths))]
+                of_bytes.extend_flat(np.frombuffer(pieces.as_py(), np.uint8), np.diff(ends))
                 for x, p in zip(longs.as_py(), long_pieces.as_py(), strict=True):
                     of_word.put(first + x["word"], x["ids"])
                     of_bytes.put(first + x["word"], np.frombuffer(p, np.uint8))

@@ -114,6 +114,37 @@ def test_cuts_agree_with_the_pattern():
         assert [w for i in index for w in find(new[i])] == find(t), repr(t)
 
 
+def test_split_all_agrees_with_split():
+    import pyarrow as pa
+
+    from keystrata.llm.chunks import Chunks
+
+    r = random.Random(2)
+    texts = ["".join(r.choice("abab1 \n\t\u00a0'!  ") for _ in range(r.randint(0, 14))) for _ in range(2000)] + [None, "", " ", "a", " a"]
+    one, all_, out = Chunks(), Chunks(), []
+    for at in range(0, len(texts), 300):
+        out += all_.split_all(pa.array(texts[at : at + 300], pa.string()))
+    expected = [one.split(t) if t else [] for t in texts]
+    a, b = one.drain(), all_.drain()
+    assert [[a[i] for i in x] for x in expected] == [[b[i] for i in x] for x in out] and all_.split_all(pa.array([], pa.string())) == []
+
+
+def test_bpe_states_of_python_and_spark(spark):
+    """The fold ends alike from states that a Python worker begins and from those that Spark begins."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    r = random.Random(5)
+    words = [b"", b"a", b" the", "\u00e9\u00f1\u6f22".encode(), b"aaaaaaaa", *(bytes(r.choice(b" etaoinshrd\xc3\xa9") for _ in range(r.randint(1, 40))) for _ in range(200))]
+    states = byte_bpe.first_states(words, byte_bpe.byte_pairs(path))
+    df = spark.createDataFrame([([list(w) for w in words], states.to_pylist())], "words array<array<int>>, states array<array<bigint>>")
+    df = df.select(byte_bpe.encode_words(F.col("words"), path).alias("ids"), byte_bpe.encode_states(F.col("states"), path).alias("states"))
+    got = df.select("ids", "states", byte_bpe.decode_states(F.col("states"), path).alias("pieces")).toArrow().combine_chunks()
+    ids, lengths = byte_bpe.ids_of(got["states"].chunk(0).flatten())
+    expected = [byte_bpe.merge_long(w, byte_bpe.read_ranks(path)) for w in words]
+    assert got["ids"].to_pylist()[0] == expected
+    assert lengths.tolist() == list(map(len, expected)) and ids.tolist() == [x for e in expected for x in e]
+    assert got["pieces"][0].as_py() == b"".join(words)
+
+
 @pytest.mark.parametrize("listed", [0, 1])
 def test_bpe_without_the_list(docs, listed):
     """Words have the same ids from the list and from a block."""
