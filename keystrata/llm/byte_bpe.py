@@ -26,6 +26,7 @@ import base64
 import hashlib
 import heapq
 from functools import cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -325,17 +326,19 @@ def blocks(df: DataFrame, pattern: str, path: str, listed: Listed) -> DataFrame:
         chunks, numbers, of_chunk, place = state
         parts, words = [], []
         parts.extend(chunks.split_all(batch.column(1)))
-        found = []
-        for c in chunks.drain():
-            row = []
-            for w in find(c):
-                k = numbers.get(w)
-                if k is None:
-                    k = numbers[w] = len(numbers)
-                    words.append(w.encode())
-                row.append(k)
-            found.append(row)
-        of_chunk.extend(found)
+        found = list(map(find, chunks.drain()))
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        found = list(chain.from_iterable(found))
+        number = np.fromiter(map(numbers.get, found, repeat(-1)), np.int32, len(found))
+        for i in np.flatnonzero(number < 0).tolist():
+            w = found[i]
+            k = numbers.get(w)
+            if k is None:
+                k = numbers[w] = len(numbers)
+                words.append(w.encode())
+            number[i] = k
+        of_chunk.extend_flat(number, lengths)
+        del found
         at = listed.find(words)
         new = np.flatnonzero(at < 0)
         before = int((place >= len(listed)).sum())
